@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 BLOCK = 192
 RATE = 8000
 #: Samples in a data packet: 20 lacing values each, so that a page of 255 holds 12 whole packets and part of the next.
@@ -227,19 +229,13 @@ def pad(text: str | None) -> tuple[bytes, int]:
     return raw + b" " * (max(1, -(-len(raw) // BLOCK)) * BLOCK - len(raw)), len(raw)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def encode_column(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """``df`` with ``media_col``, the Ogg file that holds ``text_col``."""
     keep = df.drop(media_col) if media_col != text_col else df
     at, schema = keep.columns.index(text_col), f"{_ddl(keep)}, `{media_col}` binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in sliced(batches, 256):
             media = pa.array([write_ogg(*pad(t)) for t in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, media], names=[*b.schema.names, media_col])
 
@@ -277,7 +273,7 @@ def decode_column(df: DataFrame, media_col: str = "media", payload: bool = True)
         return row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in sliced(batches, 256):
             rows = [one(m) for m in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([r.get(c) for r in rows], _ARROW[t]) for c, t in new)], names=[*b.schema.names, *(c for c, _ in new)])
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, ogg, sharding, url_graph
+from . import mixing, ogg, packing, sharding, token_files, url_graph
 
 QUERIES = {
     "op1_ogg_media": ogg.op1_ogg_media,
     "op2_url_graph": url_graph.op2_url_graph,
+    "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.op5_mixing,
     "op9_sharding": sharding.op9_sharding,
+    "op10_token_files": token_files.op10_token_files,
 }
 ORACLES = {
     "op2_url_graph": url_graph.oracle(),
+    "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.oracle(),
     "op9_sharding": sharding.oracle(),
 }
