@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, ogg, packing, sharding, token_files, url_graph
+from . import mixing, ogg, packing, sharding, token_files, topk, url_graph
 
 QUERIES = {
     "op1_ogg_media": ogg.op1_ogg_media,
     "op2_url_graph": url_graph.op2_url_graph,
     "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.op5_mixing,
+    "op6_topk": topk.op6_topk,
     "op9_sharding": sharding.op9_sharding,
     "op10_token_files": token_files.op10_token_files,
 }
@@ -16,5 +17,6 @@ ORACLES = {
     "op2_url_graph": url_graph.oracle(),
     "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.oracle(),
+    "op6_topk": topk.oracle(),
     "op9_sharding": sharding.oracle(),
 }
