@@ -1,16 +1,18 @@
-"""What the operators share: input tables, materialised steps and Arrow helpers."""
+"""What the operators share: input tables, words and Arrow helpers."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pelagos.storage import materialise, shared_dir
+
+__all__ = ["WORD", "WORD_BYTES", "lower_ascii", "materialise", "shared_dir", "sliced", "table", "word_count"]
+
 #: A word: a run of anything but space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -20,35 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local session may go without; it gets a temporary one."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    master = spark.sparkContext.master
-    if not re.match(r"local(\[|$)", master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="pelagos-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
-
-    The table cuts the lineage and outlives lost executors; later steps scan it with
-    column pruning instead of computing it anew.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pelagos/{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that what Python makes of one stays small."""
     for batch in batches:

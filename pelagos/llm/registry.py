@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, ogg, packing, sharding, token_files, topk, url_graph
+from . import mixing, ogg, packing, sharding, simhash, token_files, topk, url_graph
 
 QUERIES = {
     "op1_ogg_media": ogg.op1_ogg_media,
     "op2_url_graph": url_graph.op2_url_graph,
     "op3_packing": packing.op3_packing,
+    "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op6_topk": topk.op6_topk,
     "op9_sharding": sharding.op9_sharding,
