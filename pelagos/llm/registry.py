@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, ogg, packing, sharding, simhash, token_files, topk, toxicity, url_graph
+from . import lm, mixing, ogg, packing, sharding, simhash, token_files, topk, toxicity, url_graph
 
 QUERIES = {
     "op1_ogg_media": ogg.op1_ogg_media,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op6_topk": topk.op6_topk,
+    "op7_lm": lm.op7_lm,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_sharding": sharding.op9_sharding,
     "op10_token_files": token_files.op10_token_files,
