@@ -1,8 +1,48 @@
-"""The corpus pipeline."""
+"""From raw documents to packed training sequences: toxicity, near-duplicates, mixture, packing.
 
-STAGES = []
+Every stage takes what its predecessor kept, written as Parquet and read again, and all but the last return the
+columns of ``documents``. The mixture repeats a document's row as often as the mix takes it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pelagos.llm import mixing, packing, simhash, toxicity
+from pelagos.llm.common import materialise, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them."""
+    taken = mixing.mix(docs).where("repeats > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece's sequence and place."""
+    return packing.pack(docs, with_ids=False)
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash", drop_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+
+#: SQL expresses neither the models nor the tokens; the tests hold the pipeline against its parts.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -245,3 +245,93 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For whole near-duplicate removal: five-word shingles, similarity of their sets, bits by which candidates may differ.
+DEDUP_SHINGLE, SIMILARITY, CANDIDATE_BITS, NEAREST = 5, 0.8, 14, 8
+
+
+def _line(text: str | None) -> bytes:
+    return b" ".join(WORD_BYTES.findall((text or "").encode("utf-8").lower()))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def node_of(text: str | None) -> int:
+    """A text's identity: the hash of its lower-cased words."""
+    return _signed(xxhash.xxh64_intdigest(_line(text), SEED))
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)], np.uint64).view(np.int64))
+
+
+def _with_nodes(docs: DataFrame) -> DataFrame:
+    at = docs.columns.index("text")
+    shape = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _node long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(t) for t in b.column(at).to_pylist()], pa.int64())], names=[*b.schema.names, "_node"])
+
+    return docs.mapInArrow(run, shape)
+
+
+def _word_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, fp1, fp2): two fingerprints of the different words, which a changed word moves less than those of shingles."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    h = xxhash.xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            node, one, two = [], [], []
+            for text in b.column(1).to_pylist():
+                line = _line(text)
+                words = set(line.split(b" ")) - {b""}
+                node.append(_signed(h(line, SEED)))
+                one.append(fingerprint([h(w, 1) for w in words]))
+                two.append(fingerprint([h(w, 2) for w in words]))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (node, one, two))], names=["doc_id", "node", "fp1", "fp2"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp1 long, fp2 long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs of nodes whose shingle sets have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["n", "s"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    texts = _with_nodes(docs.select("text")).join(wanted, "_node", "left_semi").groupBy("_node").agg(F.first("text").alias("text"))
+    sets = materialise(texts.select("_node", "text").mapInArrow(run, "n long, s array<long>"), "shingles")
+    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    both = pairs.join(left, "a").join(right, "b")
+    least = F.least(F.size("sa"), F.size("sb")) / F.greatest(F.size("sa"), F.size("sb"))  # no more can be common
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where((least >= similarity) & (common / (F.size("sa") + F.size("sb") - common) >= similarity)).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = DEDUP_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id (null ids last).
+
+    Texts of equal words are one node. Two word fingerprints of each node get Golay keys; candidates are the nodes that
+    share a key and differ in at most CANDIDATE_BITS (in runs of more than PAIR_ROWS each node's nearest, and a spanning
+    forest), and a candidate pair is a link if the texts' shingle sets are similar enough.
+    """
+    marked = materialise(_word_fingerprints(docs), "words")
+    nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp1").alias("fp1"), F.first("fp2").alias("fp2")), "nodes")
+    near = lambda fp, node, bits: nearest_links(fp, node, bits, NEAREST)
+    found = find_links(lambda: key_rows(nodes, ("fp1", "fp2"), spread=False), CANDIDATE_BITS, long_run=near)
+    pairs = materialise(found.distinct(), "pairs")
+    links = materialise(_verified(docs, pairs, size, similarity), "similar")
+    roots = connected_components(links).select("node", "root")
+    named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = named.groupBy("root").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
+    keep = materialise(best.select(F.col("best.node").alias("_node"), F.col("best.doc_id").alias("_keeper")), "keepers")
+    own = _with_nodes(docs).join(keep, "_node").where(F.col("doc_id").eqNullSafe(F.col("_keeper")))
+    return own.dropDuplicates(["_node"]).select(*(f"`{c}`" for c in docs.columns))
