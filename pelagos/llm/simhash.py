@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, tolerance: int = TOLER
     roots = materialise(connected_components(links), "roots")
     least = roots.join(first, roots["node"] == first["fp"]).groupBy("root").agg(F.min("first").alias("component"))
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "component")
-    names = first.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    # As a table of its own, so that the join below has a plain shuffle on either side and a hot fingerprint can be split.
+    names = materialise(first.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")), "names")
     return own.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
