@@ -63,12 +63,12 @@ def coverage_status(spark, sf):
     return filters.coverage_status(v.contacts(spark, sf), v.ais(spark, sf), 10_000).select("det_id", "ais_status")
 
 
-@query(f"""WITH a AS (SELECT *, floor(lat / 2)::BIGINT AS band, floor(epoch_us(ts) / 3600000000)::BIGINT AS slot FROM ({v.SQL_AIS})),
-p AS (SELECT c.event_id AS id, a.event_id AS other, {HAV} AS dist FROM a c, generate_series(-1, 1) g(k), generate_series(-1, 1) h(s) JOIN a ON a.band = c.band + g.k AND a.slot = c.slot + h.s AND abs(a.lon - c.lon) < 2.2 WHERE a.event_id <> c.event_id AND a.mmsi <> c.mmsi AND abs(epoch_us(a.ts) - epoch_us(c.ts)) <= 3600000000 AND {HAV} <= 200000)
+@query(f"""WITH a AS (SELECT *, floor(lat / 2)::BIGINT AS band, floor(epoch_us(ts) / 43200000000)::BIGINT AS slot FROM ({v.SQL_AIS})),
+p AS (SELECT c.event_id AS id, a.event_id AS other, {HAV} AS dist FROM a c, generate_series(-1, 1) g(k), generate_series(-1, 1) h(s) JOIN a ON a.band = c.band + g.k AND a.slot = c.slot + h.s AND abs(a.lon - c.lon) < 2.2 WHERE a.event_id <> c.event_id AND a.mmsi <> c.mmsi AND abs(epoch_us(a.ts) - epoch_us(c.ts)) <= 43200000000 AND {HAV} <= 200000)
 SELECT id, count(*) AS n, round(min(dist), 2) AS nearest_m FROM p GROUP BY id""")
 def band_join_space_time(spark, sf):
     a = v.ais(spark, sf).select("event_id", "mmsi", "ts", "lon", "lat")
-    pairs = proximity.space_time(a, a, 200_000, 3600, "ts", "ts").where("event_id <> r_event_id and mmsi <> r_mmsi")
+    pairs = proximity.space_time(a, a, 200_000, 43200, "ts", "ts").where("event_id <> r_event_id and mmsi <> r_mmsi")
     return pairs.groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("n"), F.round(F.min("dist_m"), 2).alias("nearest_m"))
 
 
