@@ -81,7 +81,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
         part = sized.join(own, F.shiftright("_h", BITS - bits) == own["cell"]).drop("cell")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = sized.select("*", *(F.lit(None).cast("long").alias(c) for c in ("depth", "prefix", "shard_bytes", "shard_docs")))
+        out = sized.where(F.lit(False)).select("*", *(F.lit(None).cast("long").alias(c) for c in ("depth", "prefix", "shard_bytes", "shard_docs")))
     out = out.withColumn("shard", prefix_text(F.col("prefix"), F.col("depth").cast("int"))).withColumn("depth", F.col("depth").cast("long")).drop("prefix")
     if heavy is not None:
         out = out.unionByName(_by_rows(sized, heavy, limit))
