@@ -92,7 +92,7 @@ def test_links_of_a_dense_group_keep_its_components(spark, limit):
             step ^= 1 << b
     values = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame([(f, f) for f in values], "node long, fp long")
-    links = s.find_links(lambda: s.key_rows(nodes), 4, limit)
+    links, _ = s.find_links(lambda: s.key_rows(nodes), 4, limit)
     from pelagos.operators.graph import connected_components
 
     got = {r.node: r.root for r in connected_components(links).collect()}
