@@ -14,8 +14,8 @@ them, which is enough for components.
 
 Defined cases: null text is empty; a text without words has fingerprint 0 and is linked like any other;
 fewer words than a shingle make one shingle; repeated rows and equal texts share a fingerprint and a
-component; null ids do not count for a component's smallest id; an empty table gives an empty result; other columns
-are kept by ``drop_near_duplicates`` and not read by the rest.
+component; null ids do not count for a component's smallest id; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def fuzzy_keys(fp: np.ndarray, spread: bool = True) -> tuple[np.ndarray, np.ndar
 
 
 def key_rows(nodes: DataFrame, columns: tuple[str, ...] = ("fp",), spread: bool = True) -> DataFrame:
-    """(key, fp, node): the keys of each fingerprint column; a column's number goes into the key."""
+    """(key, fp, node): the keys of each fingerprint column of ``nodes`` (node, ...); a column's number goes into the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 2048):
@@ -126,7 +126,7 @@ def _near(fp: np.ndarray, one: np.int64, tolerance: int) -> np.ndarray:
     return np.bitwise_count((fp ^ one).view(np.uint64)) <= tolerance
 
 
-def spanning_links(fp: np.ndarray, node: np.ndarray, tolerance: int) -> tuple[list, list]:
+def spanning_links(fp: np.ndarray, node: np.ndarray, label: np.ndarray, tolerance: int) -> tuple[list, list]:
     """A spanning forest of the links between all rows, by breadth-first search over those not yet reached."""
     left, a, b = np.arange(len(fp)), [], []
     while len(left):
@@ -143,48 +143,93 @@ def spanning_links(fp: np.ndarray, node: np.ndarray, tolerance: int) -> tuple[li
     return a, b
 
 
-def nearest_links(fp: np.ndarray, node: np.ndarray, tolerance: int, most: int) -> tuple[list, list]:
-    """Each row's links to its ``most`` nearest rows, in blocks, and a spanning forest of all links."""
-    a, b = spanning_links(fp, node, tolerance)
+def _pairs_in(fp: np.ndarray, tolerance: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other row, bits) of a long run's pairs within tolerance that are wanted, block by block."""
     for at in range(0, len(fp), 512):
-        own = fp[at : at + 512]
-        far = np.bitwise_count((own[:, None] ^ fp[None, :]).view(np.uint64)).astype(np.int16)
-        far[np.arange(len(own)), at + np.arange(len(own))] = 99
-        best = np.argpartition(far, min(most, len(fp) - 1), axis=1)[:, :most]
-        good = np.take_along_axis(far, best, 1) <= tolerance
-        a.append(np.repeat(node[at : at + 512], good.sum(1)))
-        b.append(node[best[good]])
+        own = np.arange(at, min(at + 512, len(fp)))
+        bits = np.bitwise_count((fp[own][:, None] ^ fp[None, :]).view(np.uint64))
+        x, y = np.nonzero(bits <= tolerance)
+        keep = (own[x] != y) & wanted(own[x], y)
+        yield own[x[keep]], y[keep], bits[x[keep], y[keep]]
+
+
+def _least(x: np.ndarray, y: np.ndarray, bits: np.ndarray, most: int) -> np.ndarray:
+    """Which of the pairs are among the ``most`` nearest of their x, ties to the smaller y."""
+    order = np.lexsort((y, bits, x))
+    first = np.concatenate([[True], x[order][1:] != x[order][:-1]]) if len(x) else np.zeros(0, bool)
+    rank = np.arange(len(x)) - np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
+    keep = np.zeros(len(x), bool)
+    keep[order] = rank < most
+    return keep
+
+
+def nearest_links(fp: np.ndarray, node: np.ndarray, label: np.ndarray, tolerance: int, most: int) -> tuple[list, list]:
+    """Each row's links to its ``most`` nearest rows."""
+    a, b = [], []
+    for x, y, bits in _pairs_in(fp, tolerance, lambda x, y: node[x] != node[y]):
+        keep = _least(x, y, bits, most)
+        a.append(node[x[keep]])
+        b.append(node[y[keep]])
     return a, b
 
 
-def _solver(tolerance: int, limit: int, long_run: Callable[[np.ndarray, np.ndarray, int], tuple[list, list]]):
-    """Reads rows (key, fp, node) sorted by key; yields (a, b, over): links, and the keys of runs above ``limit``."""
+#: Kinds of rows that a solver yields: a link (a, b); a key (a) whose run is above the limit; a row (a = key, b = fp, c = node) of a run that holds further links.
+LINK, OVER, MORE = 0, 1, 2
+_SHAPE = "a long, b long, c long, kind int"
 
-    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+
+def _out(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
+    n = len(cols[0])
+    full = [np.asarray(c, np.int64) for c in cols] + [np.zeros(n, np.int64)] * (3 - len(cols))
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in full), pa.array(np.full(n, kind, np.int32))], names=["a", "b", "c", "kind"])
+
+
+def _solver(tolerance: int, limit: int, long_run: Callable[..., tuple[list, list]], most: int | None = None, labelled: bool = False):
+    """Reads rows (key, fp, node[, label]) sorted by key; yields links between different labels (nodes, unless ``labelled``).
+
+    Runs of more than PAIR_ROWS rows go to ``long_run``. With ``most``, only links to each node's nearest come out, and the rows that have
+    others come out as they are (MORE), for a second look.
+    """
+
+    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
         short = np.repeat(size <= PAIR_ROWS, size)
-        a, b = [], []
+        one, two, bits = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
         for k in range(1, min(PAIR_ROWS, int(size.max(initial=1)))):
             same = np.flatnonzero((key[k:] == key[:-k]) & short[k:])
             if not len(same):
                 break
-            hit = same[(np.bitwise_count((fp[same] ^ fp[same + k]).view(np.uint64)) <= tolerance) & (node[same] != node[same + k])]
-            a.append(node[hit])
-            b.append(node[hit + k])
+            far = np.bitwise_count((fp[same] ^ fp[same + k]).view(np.uint64))
+            hit = (far <= tolerance) & (label[same] != label[same + k])
+            one.append(same[hit])
+            two.append(same[hit] + k)
+            bits.append(far[hit])
+        one, two, bits = np.concatenate(one), np.concatenate(two), np.concatenate(bits)
+        again = np.zeros(len(key), bool)
+        if most is not None:
+            keep = _least(np.concatenate([node[one], node[two]]), np.concatenate([node[two], node[one]]), np.concatenate([bits, bits]), most)
+            keep = keep[: len(one)] | keep[len(one) :]
+            again[one[~keep]] = again[two[~keep]] = True
+            one, two = one[keep], two[keep]
+        a, b = [node[one]], [node[two]]
         for s, n in zip(start[size > PAIR_ROWS], size[size > PAIR_ROWS], strict=True):
-            more = long_run(fp[s : s + n], node[s : s + n], tolerance)
+            more = long_run(fp[s : s + n], node[s : s + n], label[s : s + n], tolerance)
             a += more[0]
             b += more[1]
-        pair = np.unique(np.sort(np.stack([np.concatenate(a), np.concatenate(b)]), axis=0), axis=1) if a else np.empty((2, 0), np.int64)
+            again[s : s + n] = most is not None
+        pair = np.unique(np.sort(np.stack([np.concatenate(a), np.concatenate(b)]), axis=0), axis=1)
         pair = pair[:, pair[0] != pair[1]]
-        return pa.RecordBatch.from_arrays([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64()), pa.array(np.zeros(pair.shape[1], bool))], names=["a", "b", "over"])
+        yield _out(LINK, pair[0], pair[1])
+        if again.any():
+            yield _out(MORE, key[again], fp[again], node[again])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
+        width = 3 + labelled
+        held = [np.empty(0, np.int64)] * width
         over = None  # the key whose run is above the limit; its rows are passed by
         for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(3)]
+            new = [batch.column(i).to_numpy() for i in range(width)]
             if over is not None:
                 keep = new[0] != over
                 if not keep.any():
@@ -196,35 +241,40 @@ def _solver(tolerance: int, limit: int, long_run: Callable[[np.ndarray, np.ndarr
             last = rows[0][-1]
             cut = int(np.searchsorted(rows[0], last))
             if cut:
-                yield links(*(x[:cut] for x in rows))
+                yield from links(*(x[:cut] for x in rows[:3]), rows[-1][:cut])
             held = [x[cut:] for x in rows]
             if len(held[0]) > limit:
                 over = last
                 held = [x[:0] for x in held]
-                yield pa.RecordBatch.from_arrays([pa.array([int(over)]), pa.array([0]), pa.array([True])], names=["a", "b", "over"])
+                yield _out(OVER, np.array([over]))
         if len(held[0]):
-            yield links(*held)
+            yield from links(*held[:3], held[-1])
 
     return run
 
 
-def find_links(rows: Callable[[], DataFrame], tolerance: int, limit: int = RUN_ROWS, long_run=spanning_links) -> DataFrame:
-    """(a, b): nodes of ``rows()`` (key, fp, node) that share a key and differ in at most ``tolerance`` bits; long runs may leave out links that do not change components."""
-    shape = "a long, b long, over boolean"
-    first = rows().repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_solver(tolerance, limit, long_run), shape)
-    first = materialise(first, "links")
-    links = first.where("not over").select("a", "b")
-    if first.where("over").isEmpty():
-        return links
-    large = first.where("over").select(F.col("a").alias("key"))
-    own = rows().join(large, "key", "left_semi")
-    counts = own.groupBy("key").count().select("key", F.ceil(F.col("count") * 2 / limit).cast("int").alias("blocks"))
-    dealt = own.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Every unordered pair of different blocks; a block on its own goes with each of its pairs.
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
-    pairs = dealt.withColumn("other", other).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp", "node")
-    second = pairs.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_solver(tolerance, 1 << 62, long_run), shape)
-    return links.unionByName(materialise(second, "blocklinks").select("a", "b"))
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "fp")
+
+
+def find_links(rows: Callable[[], DataFrame], tolerance: int, limit: int = RUN_ROWS, long_run=spanning_links, most: int | None = None, labelled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((a, b) links, (key, fp, node) rows for a second look) of ``rows()`` (key, fp, node[, label]) that share a key and differ in at most ``tolerance`` bits.
+
+    Without ``most`` there is nothing to look at again; with ``spanning_links`` long runs leave out links that do not change components.
+    """
+    found = materialise(_sorted(rows()).mapInArrow(_solver(tolerance, limit, long_run, most, labelled), _SHAPE), "links")
+    over = found.where(F.col("kind") == OVER).select(F.col("a").alias("key"))
+    if not over.isEmpty():
+        own = rows().join(over, "key", "left_semi")
+        counts = own.groupBy("key").count().select("key", F.ceil(F.col("count") * 2 / limit).cast("int").alias("blocks"))
+        dealt = own.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        # Every unordered pair of different blocks; a block on its own goes with each of its pairs.
+        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+        key = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key")
+        pairs = dealt.withColumn("other", other).select(key, "fp", "node", *(["label"] if labelled else []))
+        found = found.unionByName(materialise(_sorted(pairs).mapInArrow(_solver(tolerance, 1 << 62, long_run, most, labelled), _SHAPE), "blocklinks"))
+    again = found.where(F.col("kind") == MORE).select(F.col("a").alias("key"), F.col("b").alias("fp"), F.col("c").alias("node"))
+    return found.where(F.col("kind") == LINK).select("a", "b"), again
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, tolerance: int = TOLERANCE, seed: int = SEED) -> DataFrame:
@@ -233,7 +283,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, tolerance: int = TOLER
         raise ValueError("the keys find fingerprints that differ in at most four bits")
     own = materialise(fingerprints(docs, size, seed), "fingerprints")
     first = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = find_links(lambda: key_rows(first.withColumn("node", F.col("fp"))), tolerance)
+    links, _ = find_links(lambda: key_rows(first.select("fp", F.col("fp").alias("node"))), tolerance)
     roots = materialise(connected_components(links), "roots")
     least = roots.join(first, roots["node"] == first["fp"]).groupBy("root").agg(F.min("first").alias("component"))
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "component")
@@ -246,93 +296,3 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: For whole near-duplicate removal: five-word shingles, similarity of their sets, bits by which candidates may differ.
-DEDUP_SHINGLE, SIMILARITY, CANDIDATE_BITS, NEAREST = 5, 0.8, 14, 8
-
-
-def _line(text: str | None) -> bytes:
-    return b" ".join(WORD_BYTES.findall((text or "").encode("utf-8").lower()))
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def node_of(text: str | None) -> int:
-    """A text's identity: the hash of its lower-cased words."""
-    return _signed(xxhash.xxh64_intdigest(_line(text), SEED))
-
-
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)], np.uint64).view(np.int64))
-
-
-def _with_nodes(docs: DataFrame) -> DataFrame:
-    at = docs.columns.index("text")
-    shape = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _node long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(t) for t in b.column(at).to_pylist()], pa.int64())], names=[*b.schema.names, "_node"])
-
-    return docs.mapInArrow(run, shape)
-
-
-def _word_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, fp1, fp2): two fingerprints of the different words, which a changed word moves less than those of shingles."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    h = xxhash.xxh64_intdigest
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            node, one, two = [], [], []
-            for text in b.column(1).to_pylist():
-                line = _line(text)
-                words = set(line.split(b" ")) - {b""}
-                node.append(_signed(h(line, SEED)))
-                one.append(fingerprint([h(w, 1) for w in words]))
-                two.append(fingerprint([h(w, 2) for w in words]))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (node, one, two))], names=["doc_id", "node", "fp1", "fp2"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp1 long, fp2 long")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs of nodes whose shingle sets have at least this Jaccard similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["n", "s"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-    texts = _with_nodes(docs.select("text")).join(wanted, "_node", "left_semi").groupBy("_node").agg(F.first("text").alias("text"))
-    sets = materialise(texts.select("_node", "text").mapInArrow(run, "n long, s array<long>"), "shingles")
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    both = pairs.join(left, "a").join(right, "b")
-    least = F.least(F.size("sa"), F.size("sb")) / F.greatest(F.size("sa"), F.size("sb"))  # no more can be common
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where((least >= similarity) & (common / (F.size("sa") + F.size("sb") - common) >= similarity)).select("a", "b")
-
-
-def drop_near_duplicates(docs: DataFrame, size: int = DEDUP_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id (null ids last).
-
-    Texts of equal words are one node. Two word fingerprints of each node get Golay keys; candidates are the nodes that
-    share a key and differ in at most CANDIDATE_BITS (in runs of more than PAIR_ROWS each node's nearest, and a spanning
-    forest), and a candidate pair is a link if the texts' shingle sets are similar enough.
-    """
-    marked = materialise(_word_fingerprints(docs), "words")
-    nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp1").alias("fp1"), F.first("fp2").alias("fp2")), "nodes")
-    near = lambda fp, node, bits: nearest_links(fp, node, bits, NEAREST)
-    found = find_links(lambda: key_rows(nodes, ("fp1", "fp2"), spread=False), CANDIDATE_BITS, long_run=near)
-    pairs = materialise(found.distinct(), "pairs")
-    links = materialise(_verified(docs, pairs, size, similarity), "similar")
-    roots = connected_components(links).select("node", "root")
-    named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = named.groupBy("root").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
-    keep = materialise(best.select(F.col("best.node").alias("_node"), F.col("best.doc_id").alias("_keeper")), "keepers")
-    own = _with_nodes(docs).join(keep, "_node").where(F.col("doc_id").eqNullSafe(F.col("_keeper")))
-    return own.dropDuplicates(["_node"]).select(*(f"`{c}`" for c in docs.columns))

@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline as c
-from pelagos.llm import mixing, simhash, toxicity
+from pelagos.llm import dedup, mixing, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def test_stages(spark, sf, kept):
 
 def test_no_similar_texts_stay(kept):
     texts = {r.doc_id: r.text for r in kept["simhash"].collect()}
-    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in texts.items()}
+    sets = {i: set(dedup.shingle_set(t, 5).tolist()) for i, t in texts.items()}
     ids = sorted(sets)
     close = [(a, b) for a in ids for b in ids if a < b and sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(close) <= 0.02 * len(ids)

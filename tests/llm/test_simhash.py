@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pelagos.llm import golay
+from pelagos.llm import dedup, golay
 from pelagos.llm import simhash as s
 
 
@@ -122,18 +122,18 @@ def test_drop_near_duplicates(spark, messy, empty):
         rows.append((100 - i, " ".join(own)))
     rows += [(200 + i, " ".join(rng.choice(words) for _ in range(120))) for i in range(20)]
     docs = spark.createDataFrame([(a, t, "x") for a, t in rows], "doc_id long, text string, _keeper string").drop("_keeper")
-    kept = [r.doc_id for r in s.drop_near_duplicates(docs).collect()]
+    kept = [r.doc_id for r in dedup.drop_near_duplicates(docs).collect()]
     assert sorted(kept) == [71, *range(200, 220)]
-    out = s.drop_near_duplicates(messy("root"))
+    out = dedup.drop_near_duplicates(messy("root"))
     assert out.columns == messy("root").columns
     assert sorted((r.doc_id or -1) for r in out.collect()) == [-1, 1, 3, 6, 7, 8]
-    assert s.drop_near_duplicates(empty).count() == 0
+    assert dedup.drop_near_duplicates(empty).count() == 0
 
 
 def test_drop_near_duplicates_against_all_pairs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    sets = {i: set(s.shingle_set(t, 5).tolist()) for i, t in texts.items()}
+    sets = {i: set(dedup.shingle_set(t, 5).tolist()) for i, t in texts.items()}
     root = {i: i for i in texts}
 
     def find(i):
@@ -144,9 +144,9 @@ def test_drop_near_duplicates_against_all_pairs(spark, sf):
     for a in texts:
         for b in texts:
             both = len(sets[a] & sets[b])
-            if a < b and (s.node_of(texts[a]) == s.node_of(texts[b]) or both and both / len(sets[a] | sets[b]) >= 0.8):
+            if a < b and (dedup.node_of(texts[a]) == dedup.node_of(texts[b]) or both and both / len(sets[a] | sets[b]) >= 0.8):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     want = {i for i in texts if find(i) == i}
-    got = {r.doc_id for r in s.drop_near_duplicates(docs).select("doc_id").collect()}
+    got = {r.doc_id for r in dedup.drop_near_duplicates(docs).select("doc_id").collect()}
     assert len(got ^ want) <= 0.02 * len(want)
