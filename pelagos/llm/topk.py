@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 K, EVERY, SCALE = 10, 100, 1024
-PIVOTS, GROUP_ROWS, BLOCK_ROWS, SEED = 64, 256, 1024, 42
+PIVOTS, GROUP_ROWS, BLOCK_ROWS, SEED = 64, 1024, 1024, 42
+#: Queries that a group should have at least: fewer pivots group the queries than the data, so that blocks go to few groups.
+LEAST_QUERIES = 128
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
@@ -69,8 +71,8 @@ def _blocks(rows: DataFrame, key: list[str], width: int) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{k} long" for k in key) + ", ids binary, vectors binary")
 
 
-def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the nearest pivot (``cell``), the distance to it and the norm."""
+def _cells(rows: DataFrame, pivots: np.ndarray, homes: int) -> DataFrame:
+    """Adds the nearest pivot (``cell``) and the distance to it, the norm, and the nearest of the first ``homes`` pivots with its distance."""
     width = pivots.shape[1]
     square = (pivots * pivots).sum(1)
 
@@ -78,10 +80,12 @@ def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
         for b in batches:
             v = _matrix(b.column(2), width)
             cell = np.argmin(square - 2 * (v @ pivots.T), axis=1)
-            far = np.sqrt(((v - pivots[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int64)), pa.array(far), pa.array(np.sqrt((v * v).sum(1)))], names=[*b.schema.names, "cell", "far", "norm"])
+            home = np.argmin(square[:homes] - 2 * (v @ pivots[:homes].T), axis=1)
+            far, spread = (np.sqrt(((v - pivots[x]) ** 2).sum(1)) for x in (cell, home))
+            more = [pa.array(cell.astype(np.int64)), pa.array(far), pa.array(np.sqrt((v * v).sum(1))), pa.array(home.astype(np.int64)), pa.array(spread)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "cell", "far", "norm", "home", "spread"])
 
-    return rows.select("vec_id", "query", "v").mapInArrow(run, "vec_id long, query boolean, v array<long>, cell long, far double, norm double")
+    return rows.select("vec_id", "query", "v").mapInArrow(run, "vec_id long, query boolean, v array<long>, cell long, far double, norm double, home long, spread double")
 
 
 def _wanted(groups: DataFrame, pivots: np.ndarray, cells: list, k: int) -> DataFrame:
@@ -127,18 +131,19 @@ def _top_k(rows: DataFrame, width: int, k: int, n_pivots: int, seed: int) -> Dat
     # Distinct vectors only, or copies of one vector could be all pivots.
     chosen = rows.select("v", F.xxhash64("v", F.lit(seed)).alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(n_pivots).collect()
     pivots = np.array([r["v"] for r in chosen], float)
-    placed = materialise(_cells(rows, pivots), "cells")
+    homes = max(1, min(len(pivots), rows.where("query").count() // LEAST_QUERIES))
+    placed = materialise(_cells(rows, pivots, homes), "cells")
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("norm").alias("norm")).collect()  # a row per pivot
-    asked = {r["cell"]: r["n"] for r in placed.where("query").groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    asked = {r["home"]: r["n"] for r in placed.where("query").groupBy("home").agg(F.count("*").alias("n")).collect()}
     salts = F.create_map(*(F.lit(x) for c, n in asked.items() for x in (int(c), -(-n // GROUP_ROWS))))
-    queries = placed.where("query").withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts[F.col("cell")]))
-    groups = queries.groupBy("cell", "salt").agg(F.max("far").alias("spread"))
+    queries = placed.where("query").withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts[F.col("home")]))
+    groups = queries.groupBy("home", "salt").agg(F.max("spread").alias("spread"))
     wanted = _wanted(groups, pivots, cells, k)
     spare = {r["cell"]: r["n"] for r in cells}
     parts = F.create_map(*(F.lit(x) for c, n in spare.items() for x in (int(c), -(-n // BLOCK_ROWS))))
     data = _blocks(placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), parts[F.col("cell")])), ["cell", "block"], width)
     blocks = materialise(data, "blocks")
-    asks = materialise(_blocks(queries.withColumnRenamed("cell", "home"), ["home", "salt"], width).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"}), "queries")
+    asks = materialise(_blocks(queries, ["home", "salt"], width).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"}), "queries")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = wanted.join(asks, ["home", "salt"]).join(blocks, "cell").select("q_ids", "q_vectors", "ids", "vectors").repartition(n)
 

@@ -22,6 +22,7 @@ def brute(rows, k, every):
 def test_against_brute_force(spark, monkeypatch, block, group, pivots):
     monkeypatch.setattr(t, "BLOCK_ROWS", block)
     monkeypatch.setattr(t, "GROUP_ROWS", group)
+    monkeypatch.setattr(t, "LEAST_QUERIES", group)
     rng = random.Random(9)
     centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(4)]
     rows = [(i, [float(c + rng.gauss(0, 0.1)) for c in centres[i % 4]]) for i in range(230)]
