@@ -1,4 +1,4 @@
-"""Near-duplicate removal on word shingles, with Golay-keyed SimHash candidates and exact similarity.
+"""Near-duplicate removal on word shingles, with the candidates of a complete prefix filter and exact similarity.
 
 Defined cases: null text is empty; texts of equal lower-cased words are copies, those without words included; of a group the row of
 the smallest doc_id stays, null ids last, one row even if that row is repeated; an empty table gives an empty result; all other
@@ -12,18 +12,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelagos.operators.graph import connected_components
 
 from .common import WORD_BYTES, materialise, sliced
-from .simhash import SEED, find_links, fingerprint, key_rows, nearest_links, shingles
+from .simhash import SEED, shingles
 
-#: For whole near-duplicate removal: five-word shingles, similarity of their sets, bits by which candidates may differ.
-DEDUP_SHINGLE, SIMILARITY, CANDIDATE_BITS = 5, 0.8, 14
-#: Candidates of each text in a run that are compared before those that may be needless.
-FIRST = 2
+#: For whole near-duplicate removal: five-word shingles, similarity of their sets.
+DEDUP_SHINGLE, SIMILARITY = 5, 0.8
+#: Texts in which frequent shingles are counted, in how many of them one must occur, and how many are taken at most.
+COUNTED, OFTEN, FREQUENT = 10_000, 8, 1 << 16
+#: Nodes of a key whose pairs are candidates one by one; longer runs are compared as blocks.
+RUN = 64
 
 
 def _line(text: str | None) -> bytes:
@@ -54,39 +56,136 @@ def _with_nodes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, shape)
 
 
-def _word_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, fp1, fp2): two fingerprints of the different words, which a changed word moves less than those of shingles."""
+def prefix(own: np.ndarray, frequent: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set in one order of all shingles: the frequent ones last, by their counts ``often``, else by hash.
+
+    Two sets of at least this similarity always have a common shingle in their prefixes, whatever the order.
+    """
+    if not len(own):
+        return own
+    length = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+    if len(frequent):
+        place = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        late = frequent[place] == own
+        last = own[late]
+        own = np.concatenate([own[~late], last[np.argsort(often[place[late]], kind="stable")]])
+    return own[:length]
+
+
+def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that occur in OFTEN or more of about COUNTED different texts, sorted, with their counts. They only set the order of the prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            sets = [shingle_set(t, size) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64), pa.int64())], names=["key"])
+
+    step = max(1, docs.count() // COUNTED)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).distinct().mapInArrow(run, "key long")
+    top = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow().sort_by("key")
+    return top.column("key").to_numpy(), top.column("n").to_numpy()
+
+
+def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(doc_id, node, n, keys, hot): each document's number of shingles, its prefix, and how many of the prefix, at its end, are frequent."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    h = xxhash.xxh64_intdigest
+    frequent, often = _frequent(docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            node, one, two = [], [], []
+            node, n, keys, hot = [], [], [], []
             for text in b.column(1).to_pylist():
-                line = _line(text)
-                words = set(line.split(b" ")) - {b""}
-                node.append(_signed(h(line, SEED)))
-                one.append(fingerprint([h(w, 1) for w in words]))
-                two.append(fingerprint([h(w, 2) for w in words]))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (node, one, two))], names=["doc_id", "node", "fp1", "fp2"])
+                own = shingle_set(text, size)
+                first = prefix(own, frequent, often, similarity)
+                node.append(node_of(text))
+                n.append(len(own))
+                keys.append(first)
+                hot.append(int((frequent[np.minimum(np.searchsorted(frequent, first), len(frequent) - 1)] == first).sum()) if len(frequent) else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(hot, pa.int32())], names=["doc_id", "node", "n", "keys", "hot"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp1 long, fp2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n int, keys array<long>, hot int")
+
+
+#: Kinds of rows of _candidates: a pair of nodes; a node and the key whose run is too long for pairs.
+PAIR, CHAIN = 0, 1
+
+
+def _candidates(similarity: float):
+    """Reads (key, node, n, place) sorted by key; yields (a, b, kind). Of a run of up to RUN nodes those pairs whose sizes and places allow the similarity."""
+    share = similarity / (1 + similarity)
+
+    def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in range(1, RUN):
+            one = np.flatnonzero(key[k:] == key[:-k])
+            if not len(one):
+                break
+            two = one + k
+            # If this is the first common shingle, no more than the rest of either set can follow; a pair is kept by its first one.
+            good = np.minimum(n[one] - place[one], n[two] - place[two]) >= share * (n[one] + n[two]) - 1e-6
+            a.append(node[one[good]])
+            b.append(node[two[good]])
+        return np.sort(np.stack([np.concatenate(a), np.concatenate(b)]), axis=0)
+
+    def out(rows: np.ndarray, kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(np.full(rows.shape[1], kind, np.int32))], names=["a", "b", "kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4
+        found, many = [], 0
+        over = None  # a key whose run is already known as long
+
+        def solve(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal found, many
+            key = rows[0]
+            if not len(key):
+                return
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(start, len(key)))
+            long = np.repeat((size > RUN) | (key[start] == over if over is not None else False), size)
+            if long.any():
+                yield out(np.stack([rows[1][long], key[long]]), CHAIN)
+            found.append(pairs(*(x[~long] for x in rows)))
+            many += found[-1].shape[1]
+            if many > 1 << 19:
+                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                if found[0].shape[1] > 1 << 18:
+                    yield out(found[0], PAIR)
+                    found = []
+                many = sum(x.shape[1] for x in found)
+
+        for batch in batches:
+            rows = [np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)]
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from solve([x[:cut] for x in rows])
+            held = [x[cut:] for x in rows]
+            if len(held[0]) > RUN or held[0][0] == over:
+                over = int(held[0][0])
+                yield from solve(held)
+                held = [x[:0] for x in held]
+        yield from solve(held)
+        if many:
+            yield out(np.unique(np.concatenate(found, axis=1), axis=1), PAIR)
+
+    return run
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(n, s): the shingle set of each node that has a candidate, from its document of the smallest id."""
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``wanted`` (node, and other columns) with ``s``, the shingle set of each node, from its document of the smallest id."""
+    names = wanted.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["n", "s"])
+            sets = [shingle_set(t, size) for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], names=["node", *names, "s"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select(F.col("node").alias("_want"), F.col("doc_id").alias("_id"))
+    ends = nodes.select("node", F.col("doc_id").alias("_id")).join(wanted, "node")
     own = _with_nodes(docs.select("doc_id", "text"))
     # The id is part of the join's key, so a text with very many copies is not gathered in one task.
-    texts = own.join(wanted, (own["_node"] == wanted["_want"]) & own["doc_id"].eqNullSafe(wanted["_id"])).groupBy("_node").agg(F.first("text").alias("text"))
-    return materialise(texts.select("_node", "text").mapInArrow(run, "n long, s array<long>"), "shingles")
+    texts = own.join(ends, (own["_node"] == ends["node"]) & own["doc_id"].eqNullSafe(ends["_id"])).groupBy("node").agg(*(F.first(c).alias(c) for c in (*names, "text")))
+    return texts.mapInArrow(run, "node long, " + "".join(f"{c} {wanted.schema[c].dataType.simpleString()}, " for c in names) + "s array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -99,7 +198,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 #: Texts of one candidate component that a task compares with as many others.
-BLOCK = 256
+BLOCK = 1024
 
 
 def _compare(similarity: float):
@@ -115,7 +214,7 @@ def _compare(similarity: float):
         column = (np.cumsum(shared) - 1)[place]
         use = shared[place]
         common = np.zeros((len(node), len(node)), np.float32)
-        width = 1 << 16
+        width = 1 << 12
         for at in range(0, int(shared.sum()), width):
             inside = use & (column >= at) & (column < at + width)
             m = np.zeros((len(node), min(width, int(shared.sum()) - at)), np.float32)
@@ -143,42 +242,46 @@ def _compare(similarity: float):
 
 
 def _links(docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links that join the same nodes as all similar candidates do.
+    """Links that join the same nodes as all similar pairs do.
 
-    First each text is compared with the FIRST nearest that any stretch of keys gives it; what these join gets one label. Texts with
-    further candidates are then compared with all others of their candidate component (texts that share a key, in chains), as pairs of blocks
-    of bounded size; only links between different labels come out, not the candidates. So a dense group costs products of
-    small matrices instead of a row for every pair, and no link that matters is lost.
+    Every similar pair shares a shingle of its prefixes. Runs of such a key give candidate pairs; long runs, and all runs of frequent shingles,
+    give a row for each node. The components of these are compared by whichever is less to move: pair by pair, or as pairs of blocks of bounded
+    size, of which only links come out. Components that a long run holds together are compared as blocks.
     """
-    nearest = lambda *run: nearest_links(*run, most=FIRST)
-    near, again = find_links(lambda: key_rows(nodes, ("fp1", "fp2"), spread=False), CANDIDATE_BITS, long_run=nearest, most=FIRST)
-    near = materialise(near.distinct(), "near")
-    linked = materialise(_similar(near, _sets(docs, nodes, near, size), similarity), "similar")
-    roots = materialise(connected_components(linked), "joined")
-    chain = again.select("node", F.min("node").over(Window.partitionBy("key")).alias("least")).distinct()
+    own = nodes.select("node", "n", F.expr("size(keys) - hot").alias("cold"), F.posexplode("keys").alias("place", "key"))
+    rows = own.where("place < cold").select("key", "node", "n", "place").repartition("key").sortWithinPartitions("key")
+    found = materialise(rows.mapInArrow(_candidates(similarity), "a long, b long, kind int"), "candidates")
+    pairs = materialise(found.where(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
+    chain = found.where(F.col("kind") == CHAIN).select("a", "b").unionByName(own.where("place >= cold").select(F.col("node").alias("a"), F.col("key").alias("b")))
     chain = materialise(chain, "chain")
-    groups = connected_components(chain, "node", "least").withColumnRenamed("root", "group")
-    groups = materialise(groups.join(roots, "node", "left").select("node", "group", F.coalesce("root", "node").alias("label")), "groups")
-    # A group that has one label already holds no link that matters.
-    count = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    dealt = groups.join(count.select("group", "blocks"), "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    groups = materialise(connected_components(pairs.unionByName(chain)).withColumnRenamed("root", "group"), "components")
+    # Keys are nodes of the components, too; they have no text.
+    groups = materialise(groups.join(nodes.select("node"), "node", "left_semi"), "groups")
+    count = groups.groupBy("group").agg(F.count("*").alias("m")).where("m > 1")
+    count = count.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    of = lambda ends, name: ends.join(groups, ends["a"] == groups["node"]).groupBy("group").agg(F.count("*").alias(name))
+    count = count.join(of(pairs, "edges"), "group", "left").join(of(chain.select("a").distinct(), "held"), "group", "left")
+    count = materialise(count.withColumn("single", F.col("held").isNull() & (F.col("blocks") > 1) & (F.col("edges") * 2 < F.col("m") * F.col("blocks"))), "counts")
+    dealt = groups.join(count.select("group", "blocks", "single"), "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = materialise(dealt, "dealt")
-    sets = _sets(docs, nodes, dealt.select(F.col("node").alias("a"), F.col("node").alias("b")), size)
+    apart = pairs.join(dealt.where("single").select(F.col("node").alias("a")), "a", "left_semi")
+    sets = materialise(_sets(docs, nodes, dealt.where("single").select("node"), size).select(F.col("node").alias("n"), "s"), "shingles")
+    linked = materialise(_similar(apart, sets, similarity), "similar")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
-    pairs = dealt.join(sets, dealt["node"] == sets["n"]).select("node", "label", "s", "group", "block", other.alias("other"))
-    pairs = pairs.select("node", "label", "s", "group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    more = pairs.groupBy("group", "lo", "hi").applyInArrow(_compare(similarity), "a long, b long")
+    sets = _sets(docs, nodes, dealt.where("not single").select("node", "group", "block", "blocks"), size)
+    both = sets.select("node", F.col("node").alias("label"), "s", "group", "block", other.alias("other"))
+    both = both.select("node", "label", "s", "group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    more = both.groupBy("group", "lo", "hi").applyInArrow(_compare(similarity), "a long, b long")
     return linked.unionByName(materialise(more, "more"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = DEDUP_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest doc_id (null ids last).
 
-    Texts of equal words are one node. Two word fingerprints of each node get Golay keys; candidates are the nodes that
-    share a key and differ in at most CANDIDATE_BITS, and a candidate pair is a link if the texts' shingle sets are similar enough.
+    Texts of equal words are one node. Candidates are the nodes that share a shingle of their prefixes, which all similar pairs do, and a
+    candidate pair is a link if the texts' shingle sets are similar enough.
     """
-    marked = materialise(_word_fingerprints(docs), "words")
-    nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp1").alias("fp1"), F.first("fp2").alias("fp2")), "nodes")
+    nodes = materialise(_prefixes(docs, size, similarity).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("hot").alias("hot")), "nodes")
     links = materialise(_links(docs, nodes, size, similarity), "links")
     roots = connected_components(links).select("node", "root")
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
