@@ -18,7 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_url_graph": url_graph.oracle(),
-    "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.oracle(),
     "op6_topk": topk.oracle(),
     "op9_sharding": sharding.oracle(),

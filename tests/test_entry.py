@@ -14,6 +14,10 @@ def test_oracles_name_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_oracles_are_sql():
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
 def test_flagship(spark, sf):
     assert entry.entry(spark).count() > 0
 
