@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.storage import materialise
+from pelagos.storage import discard, materialise
+
+
+def _settled(edge: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars: every u has one v, and no v is a u."""
+    ends = edge.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edge.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0))).isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has an edge to another; root is the component's smallest node.
 
     Alternates two star contractions, one towards larger and one towards smaller neighbours, until the
-    edges are stars. Sums by node are partial on the map side, and a hub's join is split at run time.
-    Null ends and loops are ignored; repeated edges count once; no edges give no rows.
+    edges are stars. Sums by node are partial on the map side, a hub's join is split at run time, and a round's table
+    is deleted when the next one is written. Null ends and loops are ignored; repeated edges count once; no edges give no rows.
     """
     edge = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     edge = materialise(edge.distinct(), "edges")
-    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-    now = mark(edge)
     for _ in range(max_rounds):
-        if not now[0]:
+        if _settled(edge):
             break
         both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,10 +32,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = materialise(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edge = materialise(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "stars")
-        before, now = now, mark(edge)
-        if now == before:
-            break
+        before, edge = edge, materialise(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "stars")
+        discard(before, large)
     else:
         raise RuntimeError("components did not settle")
     roots = edge.select("v").distinct()

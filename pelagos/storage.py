@@ -34,4 +34,13 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/pelagos/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.pelagos_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise``. Only for those that no later step reads, lazily or after a lost executor."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.pelagos_path)
+        path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)

@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -43,7 +44,7 @@ def rows_of(frame):
     """Rows as sorted tuples of text, columns by name; whole floats as integers, others to nine digits."""
 
     def text(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return ""
         if isinstance(v, bool) or str(type(v)).find("bool") >= 0:
             return str(bool(v))
