@@ -34,7 +34,7 @@ DEDUP_SHINGLE, SIMILARITY = 5, 0.8
 #: Texts in which frequent shingles are counted, in how many of them one must occur, and how many are taken at most. They set the order of the prefixes alone.
 COUNTED, OFTEN, FREQUENT = 10_000, 8, 1 << 16
 #: Nodes of a key whose pairs are candidates one by one; longer runs are compared by bitmaps, in blocks of so many.
-RUN, BLOCK = 64, 4096
+RUN, BLOCK = 16, 4096
 #: Bits of a bitmap for each shingle, and the bounds of a bitmap's size.
 DENSITY, LEAST_BITS, MOST_BITS = 4, 256, 1 << 14
 #: Rows that are broadcast at most; above, the same join shuffles.

@@ -77,11 +77,12 @@ class Stock:
         return None
 
     def triple(self, gap: int, used: Counter) -> tuple[int, int, int] | None:
+        """The first triple of sum ``gap``, the lengths with the most copies first; a length fails only where the sequence has its last copies."""
         if gap < 3:
             return None
         c = np.arange(1, gap - 1)
         c = c[(self.left[c] > 0) & (self.pairs[gap - c] > 0)]
-        for x in c[np.argsort(-self.left[c], kind="stable")[:16]]:
+        for x in c[np.argsort(-self.left[c], kind="stable")]:
             x = int(x)
             if self.spare(x, used) > 0 and (two := self.pair(gap - x, used + Counter([x]))):
                 return (x, *two)

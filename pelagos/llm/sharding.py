@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 LIMIT_BYTES = 1 << 20
-BITS, STEP, SALTS = 60, 8, 64
+BITS, STEP = 60, 8
+#: Rows of equal ids for each salt on average, so that a salt's running sum stays in one task.
+SALT_ROWS = 50_000
 
 
 def key_hash(column: str):
@@ -90,8 +92,9 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
 
 def _by_rows(sized: DataFrame, heavy: DataFrame, limit: int) -> DataFrame:
     """Rows of equal hash: a salt from the row's number, then parts of at most ``limit`` bytes by a running sum within the salt."""
-    same = sized.join(heavy, F.col("_h") == heavy["heavy"], "left_semi").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    same = materialise(same, "equal")
+    same = materialise(sized.join(heavy, F.col("_h") == heavy["heavy"], "left_semi").withColumn("_row", F.monotonically_increasing_id()), "equal")
+    rows = same.groupBy(F.col("_h").alias("_key")).agg(F.ceil(F.count("*") / SALT_ROWS).alias("_salts"))
+    same = same.join(rows, same["_h"] == rows["_key"]).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts"))).drop("_row", "_key", "_salts")
     group = Window.partitionBy("_h", "_salt")
     order = group.orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, -1)
     step = F.greatest(F.lit(1), F.lit(limit) - F.max("n_bytes").over(group))

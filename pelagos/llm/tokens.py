@@ -4,6 +4,9 @@ A chunk is a stretch that no pre-token crosses, so a text's ids are its chunks'
 that the cache lacks are split into pre-tokens and go through the tokenizers library's model. Texts
 with any character outside SAFE, where library versions could disagree on classes or case, go through
 the library as a whole; the ids are the same on either way.
+
+The strings of special tokens in a text are ordinary text, as the description of the tokenizer files has it (a document must
+not be able to end a document); with ``special_as_text=False`` the library's own default holds and they become their ids.
 """
 
 from __future__ import annotations
@@ -52,9 +55,9 @@ class _Cache(dict):
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             self.words = bool(json.load(f)["model"].get("end_of_word_suffix"))
@@ -80,6 +83,6 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = True) -> Encoder:
     """One encoder per worker process."""
-    return Encoder(path)
+    return Encoder(path, special_as_text)

@@ -12,7 +12,7 @@ With q in a group of centre c and radius s, and v in a cell of pivot p and radiu
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part;
 vectors of different lengths never meet; a query's own id is no candidate, repeated ids of others
-are candidates each; ties go to the smaller id; fewer candidates than k give fewer rows; an empty table
+are candidates each, and the rows of one query id are ranked together; ties go to the smaller id; fewer candidates than k give fewer rows; an empty table
 gives an empty result. Scores are exact while they stay below 2**53.
 """
 
@@ -88,8 +88,8 @@ def _cells(rows: DataFrame, pivots: np.ndarray, homes: int) -> DataFrame:
     return rows.select("vec_id", "query", "v").mapInArrow(run, "vec_id long, query boolean, v array<long>, cell long, far double, norm double, home long, spread double")
 
 
-def _wanted(groups: DataFrame, pivots: np.ndarray, cells: list, k: int) -> DataFrame:
-    """(cell, salt, target): the cells that may hold one of a group's k best, by the summaries alone."""
+def _wanted(groups: DataFrame, pivots: np.ndarray, cells: list, k: int, own_rows: int) -> DataFrame:
+    """(cell, salt, target): the cells that may hold one of a group's k best, by the summaries alone; a query's id has ``own_rows`` rows at most."""
     at = np.array([c["cell"] for c in cells], np.int64)
     count, radius, norm = (np.array([c[x] for c in cells], float) for x in ("n", "radius", "norm"))
     own = pivots[at]
@@ -106,7 +106,7 @@ def _wanted(groups: DataFrame, pivots: np.ndarray, cells: list, k: int) -> DataF
                 slack = slack * (1 + 1e-9) + 1e-6  # rounding only widens the bounds
                 low, high = np.maximum(mid - slack, -(size + s) * norm), np.minimum(mid + slack, (size + s) * norm * (1 + 1e-9))
                 order = np.argsort(-low)
-                enough = np.searchsorted(np.cumsum(count[order]), k + 1)  # one may be the query itself
+                enough = np.searchsorted(np.cumsum(count[order]), k + own_rows)  # so many may be the query's own
                 bound = low[order[enough]] if enough < len(order) else -np.inf
                 rows += [(int(h), int(g), int(t)) for t in at[high >= bound]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["home", "salt", "cell"])
@@ -138,7 +138,8 @@ def _top_k(rows: DataFrame, width: int, k: int, n_pivots: int, seed: int) -> Dat
     salts = F.create_map(*(F.lit(x) for c, n in asked.items() for x in (int(c), -(-n // GROUP_ROWS))))
     queries = placed.where("query").withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts[F.col("home")]))
     groups = queries.groupBy("home", "salt").agg(F.max("spread").alias("spread"))
-    wanted = _wanted(groups, pivots, cells, k)
+    repeats = placed.groupBy("vec_id").agg(F.count("*").alias("n"), F.max("query").alias("query")).where("query").agg(F.max("n")).first()[0] or 1
+    wanted = _wanted(groups, pivots, cells, k, repeats)
     spare = {r["cell"]: r["n"] for r in cells}
     parts = F.create_map(*(F.lit(x) for c, n in spare.items() for x in (int(c), -(-n // BLOCK_ROWS))))
     data = _blocks(placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), parts[F.col("cell")])), ["cell", "block"], width)

@@ -4,7 +4,7 @@ Trust is personalised PageRank along links from hosts whose pages rules allow; d
 on reversed links from hosts whose pages rules block (a host that links to blocked hosts is
 suspect). A host's seed is the share of its pages that rules allow or block. A host is blocked when
 its distrust is above its trust and at least ``threshold`` times what a wholly blocked host without
-links has.
+links has. Rounds go on until none changes a host's score by more than a thousandth of what blocks.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, takes no part in the
 graph and is allowed unless a rule fits; pages without links give no edges; links to a page's own
@@ -19,6 +19,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pelagos.storage import discard
+
 from .common import lower_ascii, materialise, table
 
 
@@ -39,7 +41,9 @@ RULES = (
     Rule("example.net", "/de/8", "block"),
     Rule("org", "/es/", "block"),
 )
-DAMPING, ITERATIONS, THRESHOLD, CUT_EVERY = 0.85, 12, 0.5, 4
+DAMPING, THRESHOLD, CUT_EVERY = 0.85, 0.5, 4
+#: The least change that counts, as a share of the score that blocks, and the rounds after which a graph that still changes is an error.
+TOLERANCE, MOST_ROUNDS = 1e-3, 400
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^/?#"'<>\s]*)"""
 
@@ -75,25 +79,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, source: str, to: str, damping: float, iterations: int) -> DataFrame:
-    """(host, score): score = (1 - damping) * seed + damping * what arrives from ``source`` hosts, after so many rounds.
+def spread(seeds: DataFrame, edges: DataFrame, source: str, to: str, damping: float, least: float, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(host, score): score = (1 - damping) * seed + damping * what arrives from ``source`` hosts, until no score changes by more than ``least``.
 
-    Each round joins scores to edges on the host and sums by the target with partial sums on the map
-    side, so a host with very many links is split or summed early. The lineage is cut every few rounds.
+    What a round adds is what the round before added, damped and passed on along the links. Each round joins it to edges on the host and
+    sums by the target with partial sums on the map side, so a host with very many links is split or summed early. Every few rounds the lineage is
+    cut and the largest addition looked at; a graph that has not settled after ``most_rounds`` is an error.
     """
     out = edges.groupBy(source).agg(F.sum("n").alias("total"))
     weighted = materialise(edges.join(out, source).select(F.col(source).alias("host"), F.col(to).alias("to"), (F.col("n") / F.col("total")).alias("w")), "edges")
     base = seeds.select("host", ((1 - damping) * F.col("seed")).alias("base")).where("base > 0")
-    score = base.select("host", F.col("base").alias("score"))
-    for n in range(iterations):
-        arrived = weighted.join(score, "host").groupBy("to").agg((damping * F.sum(F.col("w") * F.col("score"))).alias("score"))
-        score = base.select("host", F.col("base").alias("score")).unionByName(arrived.select(F.col("to").alias("host"), "score")).groupBy("host").agg(F.sum("score").alias("score"))
-        if n % CUT_EVERY == CUT_EVERY - 1:
-            score = materialise(score, "score")
-    return score
-
-
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, iterations: int = ITERATIONS, threshold: float = THRESHOLD) -> DataFrame:
+    score = added = base.select("host", F.col("base").alias("score"))
+    if weighted.isEmpty():
+        return score
+    old = []
+    for n in range(1, most_rounds + 1):
+        added = weighted.join(added, "host").groupBy("to").agg((damping * F.sum(F.col("w") * F.col("score"))).alias("score")).select(F.col("to").alias("host"), "score")
+        if n % CUT_EVERY:
+            score = score.unionByName(added)
+            continue
+        added = materialise(added, "added")
+        score = materialise(score.unionByName(added).groupBy("host").agg(F.sum("score").alias("score")), "score")
+        discard(*old)
+        old = [added, score]
+        if (added.agg(F.max("score")).first()[0] or 0) <= least:
+            return score
+    raise RuntimeError("the scores have not settled")
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages``."""
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html")
@@ -102,9 +116,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DA
     share = lambda v: F.avg(F.when(F.col("said") == v, 1.0).otherwise(0.0))
     hosts = materialise(ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
     edges = materialise(host_edges(pages), "links")
-    rounds = 0 if edges.isEmpty() else iterations
-    trust = spread(hosts.select("host", F.col("allowed").alias("seed")), edges, "src", "dst", damping, rounds)
-    distrust = spread(hosts.select("host", F.col("blocked").alias("seed")), edges, "dst", "src", damping, rounds)
+    least = tolerance * threshold * (1 - damping)
+    trust = spread(hosts.select("host", F.col("allowed").alias("seed")), edges, "src", "dst", damping, least)
+    distrust = spread(hosts.select("host", F.col("blocked").alias("seed")), edges, "dst", "src", damping, least)
     scores = hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left").na.fill(0.0, ["trust", "distrust"])
     scores = materialise(scores, "hostscores")
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * (1 - damping))
@@ -117,8 +131,8 @@ def op2_url_graph(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def oracle(rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, iterations: int = ITERATIONS, threshold: float = THRESHOLD) -> str:
-    """The same in DuckDB SQL, the rounds written out."""
+def oracle(rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, threshold: float = THRESHOLD, iterations: int = 48) -> str:
+    """The same in DuckDB SQL, so many rounds written out."""
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     parts = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     case = lambda what: "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name if what == 'rule' else r.verdict}'" for r in sorted(rules, key=lambda r: (-len(r.name), r.name))) + " END"

@@ -70,6 +70,18 @@ def test_column(messy, empty):
     assert ogg.decode_column(ogg.encode_column(empty)).count() == 0
 
 
+def test_feature_from_the_text_alone(messy):
+    """Packets, length and the signal's figures from the padded text, without a look into the file."""
+    for r in ogg.decode_column(ogg.encode_column(messy())).select("text", "feature", "n_packets", "duration_us", "n_streams", "lost_packets").collect():
+        raw = (r.text or "").encode()
+        raw += b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        x = [b - 128 for b in raw]
+        packets = 2 * (2 + -(-len(raw) // 2 // 5000))
+        us = len(raw) // 2 * 1_000_000 // 8000
+        want = f"packets={packets};us={us};peak={max(map(abs, x))};sum={sum(x)};energy={sum(v * v for v in x)};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))}"
+        assert (r.feature, r.n_packets, r.duration_us, r.n_streams, r.lost_packets) == (want, packets, us, 2, 0)
+
+
 def test_null_media(spark):
     r = ogg.decode_column(spark.createDataFrame([(None,), (bytearray(),)], "media binary")).collect()
     assert [(x.payload, x.n_pages) for x in r] == [(None, 0), (None, 0)]

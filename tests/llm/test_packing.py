@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -55,11 +56,12 @@ def test_pair_counts_stay_right():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_equal_the_library(name, messy):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    e = encoder(public_tokenizers.path(name))
-    texts = [r.text for r in messy().collect()] + ["a  b\n\n c \t", "I'll don't 12 3,4", "ΑΣ ς", "\x1c x", "é É", " lead", "x\u00a0y", "ǅ İ"]
-    for text in texts:
-        assert list(np.frombuffer(e.encode(text), "<u4")) == t.encode(text or "", add_special_tokens=False).ids
+    e, plain = encoder(public_tokenizers.path(name)), encoder(public_tokenizers.path(name), special_as_text=False)
+    texts = [r.text for r in messy().collect()] + ["a <|endoftext|> b", "<|startoftext|>a<|endoftext|>", "<|end", "a  b\n\n c \t", "I'll don't 12 3,4", "ΑΣ ς", "\x1c x", "é É", " lead", "x\u00a0y", "ǅ İ"]
+    for own, as_text in ((plain, False), (e, True)):  # the library as it is, and with special tokens as text
+        t.encode_special_tokens = as_text
+        for text in texts:
+            assert list(np.frombuffer(own.encode(text), "<u4")) == t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_pack(messy, empty):
@@ -90,7 +92,22 @@ def test_pack_against_the_library(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     total = 0
     for doc_id, own in rows.groupby("doc_id"):
-        n = len(t.encode(texts[doc_id] or "", add_special_tokens=False).ids) + 1
-        assert own.length.sum() == n
-        total += n
+        ids = np.array([*t.encode(texts[doc_id] or "", add_special_tokens=False).ids, 0], "<u4")
+        own, at = own.sort_values("piece"), 0
+        for k, r in enumerate(own.itertuples()):
+            assert (r.piece, r.start) == (k, at) and 1 <= r.length <= 2048 and (len(own) == 1 or k == 0 or r.length == 2048)
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+        total += at
+    for _, own in rows.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 2048
     assert set(rows.doc_id) == set(texts) and rows.sequence_id.nunique() <= -(-total // 2048) + 1
+
+
+def test_triples_are_looked_for_among_all_lengths():
+    """Forty lengths have more copies than the only triple that fits, and no partner."""
+    counts = {1000 + 2 * k: 9 for k in range(1, 41)} | {1700: 1, 101: 1, 117: 1, 130: 1}
+    runs = p.plan_sequences(counts)
+    assert ({1700: 1, 101: 1, 117: 1, 130: 1}, 1) in runs

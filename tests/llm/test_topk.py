@@ -33,6 +33,16 @@ def test_against_brute_force(spark, monkeypatch, block, group, pivots):
     assert got == brute(rows, 10, 10)
 
 
+def test_repeated_query_ids(spark):
+    """A tight cell of copies of a query under its own id holds none of its results, and must not count towards its bound."""
+    rng = random.Random(6)
+    rows = [(0, [50.0, 0.1 * (i % 4)]) for i in range(40)] + [(i, [rng.uniform(0, 40), rng.uniform(-5, 5)]) for i in range(1, 150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in t.top_k(df, F.col("vec_id") == 0, n_pivots=30).collect())
+    merged = sorted((-s, j) for _, _, j, s in brute(rows, 1000, 1000))[:10]  # rows of one query id are ranked together
+    assert got == [(0, r, j, -s) for r, (s, j) in enumerate(merged, 1)]
+
+
 def test_oracle(spark, sf, duck, same):
     same(t.op6_topk(spark, sf).toPandas(), duck.execute(t.oracle()).df())
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -59,6 +60,39 @@ def test_ratio_grows_with_evidence_and_rare_words_share_the_backoff():
         assert max(50 - d, 0) / total + 400 * max(1 - d, 0) / total + freed == pytest.approx(1)
 
 
+def plain_ratios(rows, discount):
+    """Class-conditional Kneser-Ney by sets of pairs, in plain Python: (log ratio of every word, that of words at or below the discount)."""
+    pairs = [set(), set()]
+    for text, y in rows:
+        words = x.words_of(text)
+        pairs[y] |= set(zip(["", *words], words, strict=False))
+    counts = [{}, {}]
+    for own, found in zip(counts, pairs, strict=True):
+        for _, w in found:
+            own[w] = own.get(w, 0) + 1
+    types = len(counts[0]) + len(counts[1])
+    total = [sum(c.values()) for c in counts]
+    freed = [sum(min(n, discount) for n in c.values()) / t for c, t in zip(counts, total, strict=True)]
+    p = lambda y, w: max(counts[y].get(w, 0) - discount, 0) / total[y] + freed[y] * ((w in counts[0]) + (w in counts[1])) / types
+    return {w: math.log(p(1, w) / p(0, w)) for w in counts[0].keys() | counts[1].keys()}, math.log(freed[1] / freed[0])
+
+
+def test_scores_against_the_plain_model(spark):
+    rows = corpus(400, seed=5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, None), (1001, "unseenword")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = x.train(docs, labels)
+    learned = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    ratios, rest = plain_ratios(learned, model.discount)
+    mean, scale, w = model.weights
+    for r in x.score(docs, model).collect():
+        own = sorted((ratios.get(word, rest) for word in x.words_of(r.text)), reverse=True)
+        top = [max(v, 0.0) for v in own[:3]]
+        f = [sum(own) / len(own), *(sum(top[:k]) / k for k in (1, 2, 3))] if own else [0.0] * 4
+        z = w[0] + sum(b * (v - m) / s for b, v, m, s in zip(w[1:], f, mean, scale, strict=True))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
 def test_features():
     assert x.text_features(np.array([])) == [0.0] * 4
     assert x.text_features(np.array([3.0, -1.0])) == [1.0, 3.0, 1.5, 1.0]

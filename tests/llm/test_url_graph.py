@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from pelagos.llm import url_graph as u
 
@@ -16,12 +17,12 @@ def test_hosts_paths_and_rules(spark):
 
 def test_spread_against_dense_iteration(spark):
     rng = np.random.default_rng(2)
-    n, steps = 12, 9
+    n, steps = 12, 400
     edges = [(f"h{a}", f"h{b}", int(rng.integers(1, 4))) for a in range(n) for b in range(n) if a != b and rng.random() < 0.25]
     seeds = [(f"h{i}", float(rng.random() < 0.4)) for i in range(n)]
     frame, seed = spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, seed double")
     for a, b in (("src", "dst"), ("dst", "src")):
-        got = {r.host: r.score for r in u.spread(seed, frame, a, b, 0.85, steps).collect()}
+        got = {r.host: r.score for r in u.spread(seed, frame, a, b, 0.85, 1e-13).collect()}
         m = np.zeros((n, n))
         for x, y, w in edges:
             x, y = (x, y) if a == "src" else (y, x)
@@ -50,5 +51,21 @@ def test_links_spread_verdicts(spark, same):
     same(got[["page_id", "host", "path", "rule", "verdict"]], c.execute(u.oracle()).df())
 
 
+def test_long_chains_settle(spark):
+    """A host forty links away from the only seed has its score, and a graph that has not settled is an error."""
+    frame = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(40)], "src string, dst string, n long")
+    seed = spark.createDataFrame([("h0", 1.0)], "host string, seed double")
+    got = {r.host: r.score for r in u.spread(seed, frame, "src", "dst", 0.85, 1e-9).collect()}
+    assert all(abs(got[f"h{i}"] - 0.15 * 0.85**i) < 1e-12 for i in range(41))
+    with pytest.raises(RuntimeError):
+        u.spread(seed, frame, "src", "dst", 0.85, 1e-9, most_rounds=8)
+
+
+def test_very_long_html(spark):
+    page = "".join(f"<p>text {i}</p><a href='https://h{i % 500}.org/{i}'>x</a>" for i in range(60_000))
+    edges = {r.dst: r.n for r in u.host_edges(spark.createDataFrame([(1, "http://a.com/", page)], "page_id long, url string, html string")).collect()}
+    assert len(edges) == 500 and set(edges.values()) == {120}
+
+
 def test_empty(spark):
     assert u.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
