@@ -2,10 +2,15 @@
 
 Every stage takes what its predecessor kept, written as Parquet and read again, and all but the last return the
 columns of ``documents``. The mixture repeats a document's row as often as the mix takes it.
+
+Defined cases: the stages' rules for nulls, empty and very long texts, ties, repeated rows and empty tables are their operators'; columns of
+``documents`` that bear the name of a column an operator adds keep their own values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +18,28 @@ from pelagos.llm import dedup, mixing, packing, toxicity
 from pelagos.llm.common import materialise, table
 
 
+def _beside(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` over ``docs`` with its further columns set apart, so that none clashes with a column the operator adds."""
+    own = {"doc_id", "text", "source"}
+    apart = {c: f"_own_{n}" for n, c in enumerate(docs.columns) if c not in own}
+    return stage(docs.withColumnsRenamed(apart)).select(*(F.col(f"`{apart.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return _beside(docs, lambda own: toxicity.score(own, model).where("predicted = 0"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return dedup.drop_near_duplicates(docs)
+    return _beside(docs, dedup.drop_near_duplicates)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
-    taken = mixing.mix(docs).where("repeats > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*docs.columns)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))
+    return _beside(docs, lambda own: mixing.mix(own).where("repeats > 0").withColumn("_copy", copies))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
