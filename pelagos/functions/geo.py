@@ -12,7 +12,10 @@ EARTH_M = 6371008.8
 KM_PER_DEGREE = EARTH_M * math.pi / 180 / 1000
 ORIGIN_LON, ORIGIN_LAT, RES, ROWS, COLS = 99.0, 24.0, 0.25, 109, 94
 # Reporting boxes (name, west, south, east, north); the first that holds a point names it.
-BOXES = (("gulf", 99.0, 5.0, 105.0, 14.0), ("strait", 99.0, -3.25, 104.5, 5.0), ("tonkin", 105.0, 17.0, 110.0, 22.0), ("central", 109.0, 8.0, 118.0, 17.0))
+BOXES = (
+    ("Gulf of Tonkin", 105.5, 17.0, 110.0, 22.5), ("North shelf", 110.0, 18.0, 118.0, 23.5), ("Gulf of Thailand", 99.0, 6.0, 105.0, 14.0),
+    ("South Vietnam shelf", 105.0, 6.0, 110.0, 12.0), ("Central sea", 110.0, 6.0, 118.0, 17.0), ("Southern sea", 102.0, -3.5, 110.0, 6.0),
+)
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = EARTH_M) -> Column:

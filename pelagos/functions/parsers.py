@@ -20,11 +20,11 @@ def utc_time(text: Column) -> Column:
 
 
 def abstract_of(inverted: Column, limit: int = 200_000) -> Column:
-    """Text of an inverted index in JSON, {word: [positions]}; empty on bad input or a position above ``limit``."""
+    """Text of an inverted index in JSON, {word: [positions]}; empty on bad input or a position above ``limit``; negative positions are skipped."""
     index = F.from_json(inverted, "map<string,array<int>>")
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))
-    bad = F.exists(pairs, lambda p: p["at"].isNull() | (p["at"] < 0) | (p["at"] > limit))
-    words = F.transform(F.array_sort(pairs), lambda p: p["word"])
+    bad = F.exists(pairs, lambda p: p["at"].isNull() | (p["at"] > limit))
+    words = F.transform(F.array_sort(F.filter(pairs, lambda p: p["at"] >= 0)), lambda p: p["word"])
     return F.when(index.isNull() | F.coalesce(bad, F.lit(True)), "").otherwise(F.array_join(words, " "))
 
 

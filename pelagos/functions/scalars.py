@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LOCAL_UTC_OFFSET_H = 7
+KN_MS = 0.514444
 
 
 def night_of(ts: Column, offset_h: int = LOCAL_UTC_OFFSET_H) -> Column:
@@ -72,17 +75,26 @@ def sql_wilson(k: str, n: str, sign: str, z: float = 1.96) -> str:
     return f"CASE WHEN {n} > 0 THEN (({k})::DOUBLE / {n} + {z * z}::DOUBLE / (2 * {n})) / {d} {sign} {z}::DOUBLE * sqrt(({k})::DOUBLE / {n} * (1 - ({k})::DOUBLE / {n}) / {n} + {z * z}::DOUBLE / (4 * {n} * {n})) / {d} END"
 
 
-def poisson_cdf(k: Column, mean: Column, limit: int = 400) -> Column:
-    """P(X <= k) by a sum of log terms; counts above ``limit`` use the normal approximation with a continuity correction."""
-    terms = F.aggregate(
-        F.sequence(F.lit(0), k),
-        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("lf")),
-        lambda a, i: F.struct((a["s"] + F.exp(i * F.log(mean) - mean - (a["lf"] + F.log(F.greatest(i, F.lit(1)).cast("double"))))).alias("s"), (a["lf"] + F.log(F.greatest(i, F.lit(1)).cast("double"))).alias("lf")),
+def log_factorial(n: Column) -> Column:
+    """ln n! by the series in 1 / n, shifted so that it holds to rounding for every n."""
+    x = n.cast("double") + 10  # ln (n + 9)! by the series, then the nine factors away
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    extra = sum((F.log(n.cast("double") + i) for i in range(1, 10)), F.lit(0.0))
+    return series - extra
+
+
+def poisson_cdf(k: Column, mean: Column, deviations: float = 40.0) -> Column:
+    """P(X <= k): the sum of its terms. Terms more than so many standard deviations from the mean are below any rounding and left out, so the sum stays short for large counts."""
+    far = deviations * F.sqrt(mean) + deviations
+    first, last = F.greatest(F.lit(0), F.floor(mean - far)), F.least(k, F.ceil(mean + far))
+    start = first * F.log(mean) - mean - log_factorial(first)
+    total = F.aggregate(
+        F.sequence(first, F.greatest(first, last)),
+        F.struct(F.lit(0.0).alias("s"), start.alias("t")),
+        lambda a, i: F.struct((a["s"] + F.exp(a["t"])).alias("s"), (a["t"] + F.log(mean / (i + 1))).alias("t")),
         lambda a: a["s"],
     )
-    z = (k + 0.5 - mean) / F.sqrt(mean)
-    normal = 1 / (1 + F.exp(-z * (1.5976 + 0.070565776 * z * z)))
-    return F.when(mean <= 0, F.lit(1.0)).when(k <= limit, F.least(terms, F.lit(1.0))).otherwise(normal)
+    return F.when(mean <= 0, F.lit(1.0)).when(last < first, F.lit(0.0)).otherwise(F.least(total, F.lit(1.0)))
 
 
 def poisson_deviance(count: Column, expected: Column) -> Column:
@@ -128,5 +140,3 @@ def half_up(x: Column) -> Column:
 def mid_of(mmsi: Column) -> Column:
     """Maritime identification digits of a ship station, else null."""
     return F.when(mmsi.between(201000000, 775999999), F.floor(mmsi / 1000000))
-
-

@@ -77,6 +77,29 @@ def block_join(left: DataFrame, right: DataFrame, res: float, keys: tuple[str, .
     return a.join(b, on).drop("_cx", "_cy").withColumn("dist_m", haversine_m(F.col("lon"), F.col("lat"), F.col(f"{prefix}lon"), F.col(f"{prefix}lat")))
 
 
+def block_counts(left: DataFrame, right: DataFrame, key: str, entity: str, res: float) -> DataFrame:
+    """(key, n, entities): right rows, and different values of ``entity``, in the 3 x 3 cells around each left row; rows without any are left out.
+
+    The right side is counted per cell first and only these counts go to the neighbouring cells.
+    """
+    cell = lambda df: df.withColumns({"_cx": centre_key(F.col("lon"), res), "_cy": centre_key(F.col("lat"), res)})
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    own = cell(right).groupBy("_cx", "_cy", F.col(entity).alias("_e")).agg(F.count("*").alias("_n"))
+    around = own.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps)).withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")})
+    sums = around.groupBy("_cx", "_cy", "_e").agg(F.sum("_n").alias("_n")).groupBy("_cx", "_cy").agg(F.sum("_n").alias("n"), F.count("_e").alias("entities"))
+    return cell(left.select(key, "lon", "lat")).join(sums, ["_cx", "_cy"]).groupBy(key).agg(F.sum("n").alias("n"), F.max("entities").alias("entities"))
+
+
+def self_space_time(df: DataFrame, key: str, radius_m: float, seconds: int, ts: str, prefix: str = "r_") -> DataFrame:
+    """Each unordered pair of rows within the radius and ``seconds`` once, the earlier row (then the smaller key) on the left."""
+    bucket = F.floor(F.unix_micros(ts) / (seconds * 1_000_000))
+    a = df.withColumn("_slot", F.explode(F.sequence(bucket, bucket + 1)))
+    pairs = within(a, df.withColumn("_slot", bucket), radius_m, prefix, extra=("_slot",)).drop("_slot", f"{prefix}_slot")
+    dt = (F.unix_micros(F.col(prefix + ts)) - F.unix_micros(F.col(ts))) / 1_000_000
+    first = (F.col(ts) < F.col(prefix + ts)) | ((F.col(ts) == F.col(prefix + ts)) & (F.col(key) < F.col(prefix + key)))
+    return pairs.where(first).withColumn("dt_s", dt).where(F.col("dt_s") <= seconds)
+
+
 def space_time(left: DataFrame, right: DataFrame, radius_m: float, seconds: int, left_ts: str, right_ts: str, prefix: str = "r_") -> DataFrame:
     """Pairs within the radius and within ``seconds``: the join key is the cell and a time bucket of that length, so neither side is scanned against all of the other."""
     bucket = lambda c: F.floor(F.unix_micros(c) / (seconds * 1_000_000))

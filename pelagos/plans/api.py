@@ -64,31 +64,6 @@ def identity_merge(spark, sf):
     return x.select(F.col("c_custkey").alias("id"), F.coalesce("s_name", "c_name").alias("name"), F.col("n_name").alias("flag"), F.col("r_name").alias("registry"), F.col("s_suppkey").isNotNull().alias("known"))
 
 
-_LEADS = f"""WITH c AS ({v.SQL_CONTACTS}), a AS ({v.SQL_AIS}),
-g AS (SELECT * FROM c WHERE status = 'unmatched' AND confidence IN ('high', 'medium') AND cnn >= 0.5 AND coalesce(wind < 0.06, true) AND length_m BETWEEN 15 AND 450),
-ck AS (SELECT *, floor(lat / 0.1)::BIGINT AS band FROM g), ak AS (SELECT *, floor(lat / 0.1)::BIGINT AS band FROM a),
-n AS (SELECT ck.det_id, count(DISTINCT a.mmsi) AS heard FROM ck, generate_series(-1, 1) s(k) JOIN ak a ON a.band = ck.band + s.k AND abs(a.lon - ck.lon) < 0.12 WHERE {geo.sql_haversine_m("ck.lon", "ck.lat", "a.lon", "a.lat")} <= 10000 GROUP BY 1),
-f AS (SELECT g.det_id, floor(20 * g.cnn / 10 + 0.5) AS f_network, CASE WHEN g.confidence = 'high' THEN 5.0 ELSE 0 END AS f_channels, floor(12 * least(1, coalesce(n.heard, 0) / 10) + 0.5) AS f_reach, floor(15 * least(1, g.length_m / 200) + 0.5) AS f_size FROM g LEFT JOIN n USING (det_id))
-SELECT det_id, f_network, f_channels, f_reach, f_size, f_network + f_channels + f_reach + f_size AS priority, CASE WHEN f_network + f_channels + f_reach + f_size >= 34 THEN 'medium' ELSE 'low' END AS band FROM f"""
-
-
-@query(_LEADS)
-def leads_queue(spark, sf):
-    """Contacts through the gate, scored by factors, rounded half up and banded: the flagship chain on these tables."""
-    c = v.contacts(spark, sf)
-    gate = F.lit(True)
-    for condition in filters.lead_gate(c).values():
-        gate = gate & F.coalesce(condition, F.lit(False))
-    g = proximity.count_within(c.where(gate), v.ais(spark, sf), "det_id", "mmsi", 10_000)
-    up = lambda x: F.floor(x + 0.5).cast("double")
-    f = g.select(
-        "det_id", up(20 * F.col("cnn") / 10).alias("f_network"), F.when(F.col("confidence") == "high", 5.0).otherwise(0.0).alias("f_channels"),
-        up(12 * F.least(F.lit(1.0), F.col("n_within") / 10)).alias("f_reach"), up(15 * F.least(F.lit(1.0), F.col("length_m") / 200)).alias("f_size"),
-    )
-    total = F.col("f_network") + F.col("f_channels") + F.col("f_reach") + F.col("f_size")
-    return f.withColumn("priority", total).withColumn("band", F.when(F.col("priority") >= 34, "medium").otherwise("low"))
-
-
 @query(f"""WITH c AS ({v.SQL_CONTACTS}) SELECT strftime(acq, '%Y-%m') AS month, confidence, status, count(*) AS n, median(length_m) AS median_length, max(length_m) AS longest, sum(cnn >= 0.5)::BIGINT AS strong FROM c GROUP BY ALL""")
 def pass_summary(spark, sf):
     c = v.contacts(spark, sf).groupBy(F.date_format("acq", "yyyy-MM").alias("month"), "confidence", "status")

@@ -6,17 +6,28 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pelagos.functions import scalars
-from pelagos.operators import dedupe
+from pelagos.operators import dedupe, passages
 from pelagos.plans.registry import query
 from pelagos.sources import views as v
 
 # Words that make a text belong to a theme.
 WORDS = {"detection": "the|detect", "night": "night|light|und", "sea": "sea|mer|la", "vessel": "ship|vessel|que"}
+
+
+def words_of(text):
+    """The different words of a text, split once for all themes."""
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
+
+
+def has_word(text, words: str):
+    return F.arrays_overlap(words_of(text), F.array(*(F.lit(x) for x in words.split("|"))))
+
+
 #: A whole word, whatever letters stand beside it.
 THEMES = {name: rf"(?:^|[^\p{{L}}])(?:{words})(?:[^\p{{L}}]|$)" for name, words in WORDS.items()}
 
 
-@query(r"""SELECT doc_id AS id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '<[^>]*>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS title_key, len(regexp_extract_all(text, '[A-Za-z]+')) AS words FROM documents""")
+@query(r"""SELECT doc_id AS id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '<[^>]*>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS title_key, len(regexp_extract_all(text, '[A-Za-z]+')) AS words FROM documents""")
 def normalise_text_keys(spark, sf):
     w = v.works(spark, sf)
     return w.select("id", scalars.normalise_title(F.col("title")).alias("title_key"), F.regexp_count("abstract", F.lit("[A-Za-z]+")).cast("long").alias("words"))
@@ -25,7 +36,7 @@ def normalise_text_keys(spark, sf):
 @query("SELECT doc_id AS id, " + ", ".join(f"regexp_matches(lower(text), '{p}') AS {n}" for n, p in THEMES.items()) + " FROM documents")
 def theme_flags(spark, sf):
     w = v.works(spark, sf)
-    return w.select("id", *(F.lower("abstract").rlike(p).alias(n) for n, p in THEMES.items()))
+    return w.select("id", *(has_word(F.col("abstract"), words).alias(n) for n, words in WORDS.items()))
 
 
 _T = "t AS (SELECT doc_id AS id, doc_id % 12 + 2015 AS year, source AS venue, lang, k.theme AS theme FROM documents, (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in THEMES.items()) + ") k(theme, p) WHERE regexp_matches(lower(text), k.p))"
@@ -33,7 +44,8 @@ _T = "t AS (SELECT doc_id AS id, doc_id % 12 + 2015 AS year, source AS venue, la
 
 def _themed(spark, sf):
     w = v.works(spark, sf)
-    hit = F.array_compact(F.array(*(F.when(F.lower("abstract").rlike(p), F.lit(n)) for n, p in THEMES.items())))
+    w = w.withColumn("_words", words_of(F.col("abstract")))
+    hit = F.array_compact(F.array(*(F.when(F.arrays_overlap("_words", F.array(*(F.lit(x) for x in words.split("|")))), F.lit(n)) for n, words in WORDS.items())))
     return w.select("id", "year", "venue", "lang", hit.alias("themes"))
 
 
@@ -58,7 +70,7 @@ def venue_rank(spark, sf):
     return ranked.select("venue", "n", "first_year", "last_year", "top_theme", F.row_number().over(Window.orderBy(F.desc("n"), "venue")).cast("long").alias("rank"), F.round(100 * F.col("n") / F.col("total"), 2).alias("percent"))
 
 
-@query(r"""WITH k AS (SELECT doc_id AS id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '<[^>]*>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS t, md5(coalesce(text, '')) AS h, len(text) AS n FROM documents),
+@query(r"""WITH k AS (SELECT doc_id AS id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '<[^>]*>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS t, md5(coalesce(text, '')) AS h, len(text) AS n FROM documents),
 g AS (SELECT id, min(id) OVER (PARTITION BY h) AS a FROM k)
 SELECT id, a AS survivor, CASE WHEN count(*) OVER (PARTITION BY a) > 1 THEN 'same text' END AS reason FROM g""")
 def dedupe_exact_text(spark, sf):
@@ -66,7 +78,13 @@ def dedupe_exact_text(spark, sf):
     return dedupe.resolve(w.select("id", "abstract"), "id", [("same text", F.md5(F.coalesce("abstract", F.lit(""))))], [F.col("id")]).select("id", "survivor", "reason")
 
 
-@query()
+_TITLE = "trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '<[^>]*>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id AS id, doc_id % 12 + 2015 AS year, len(text) AS n, md5(text) AS h, {_TITLE} AS t FROM documents), k AS (SELECT id, 0 AS p, h AS key FROM w WHERE h IS NOT NULL UNION ALL SELECT id, 1, t || '|' || year FROM w WHERE len(t) >= 25 UNION ALL SELECT id, 2, t FROM w WHERE len(t) >= 40),
+f AS (SELECT p, key, min(id) AS first, count(*) AS n FROM k GROUP BY ALL HAVING count(*) > 1), e AS (SELECT k.id, f.first, k.p FROM k JOIN f USING (p, key)), s AS (SELECT DISTINCT id AS a, first AS b FROM e WHERE id <> first UNION SELECT DISTINCT first, id FROM e WHERE id <> first),
+r(id, root) AS (SELECT id, id FROM w UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.id), c AS (SELECT id, min(root) AS root FROM r GROUP BY id), b AS (SELECT root, arg_min(w.id, struct_pack(y := year, n := n, i := w.id)) AS survivor FROM c JOIN w USING (id) GROUP BY root),
+y AS (SELECT id, min(p) AS p FROM e GROUP BY id) SELECT c.id, b.survivor, CASE y.p WHEN 0 THEN 'same text' WHEN 1 THEN 'title and year' WHEN 2 THEN 'title' END AS reason FROM c JOIN b USING (root) LEFT JOIN y USING (id)""")
 def dedupe_works(spark, sf):
     """Ordered passes: same text, same title and year, same long title."""
     w = v.works(spark, sf)
@@ -106,16 +124,6 @@ def corpus_summary(spark, sf):
 
 @query("""WITH p AS (SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)) SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM p GROUP BY item_id""")
 def anchor_passages(spark, sf):
-    """Documents that hold a benchmark passage word for word; the passages are a small, checked set.
-
-    Each passage is looked up by its rarest long word, so only documents with that word are compared.
-    """
-    b = v.table(spark, sf, "benchmark").where("text is not null and text <> ''").select("item_id", F.col("text").alias("passage"))
-    d = v.table(spark, sf, "documents").select("doc_id", "text").where(F.col("text").isNotNull())
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{6,}"), F.lit(0)))
-    rare = b.select("item_id", "passage", F.explode(words("passage")).alias("w"))
-    df = rare.groupBy("w").agg(F.count("*").alias("n"))
-    key = rare.join(df, "w").groupBy("item_id", "passage").agg(F.min_by("w", F.struct("n", -F.length("w"), "w")).alias("w"))
-    heads = d.select("doc_id", "text", F.explode(words("text")).alias("w")).join(key.select("w").distinct(), "w", "left_semi")
-    hit = heads.join(key, "w").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id").distinct()
+    """Documents that hold a benchmark passage word for word."""
+    hit = passages.containing(v.table(spark, sf, "documents"), v.table(spark, sf, "benchmark"))
     return hit.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))

@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from pelagos.plans import api, bibliography, encoding, space, statistics, time  # noqa: E402, F401
+from pelagos.plans import api, bibliography, encoding, evidence, leads, matching, space, statistics, time  # noqa: E402, F401

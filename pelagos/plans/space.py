@@ -38,8 +38,7 @@ b AS (SELECT lon, lat, mmsi, floor(lon / 0.1 + 0.5)::BIGINT AS cx, floor(lat / 0
 d AS (SELECT x, y FROM generate_series(-1, 1) g(x), generate_series(-1, 1) h(y))
 SELECT k.det_id, count(*) AS n, count(DISTINCT b.mmsi) AS vessels FROM k, d JOIN b ON b.cx = k.cx + d.x AND b.cy = k.cy + d.y GROUP BY k.det_id""")
 def grid_block_join_counts(spark, sf):
-    pairs = proximity.block_join(v.contacts(spark, sf).select("det_id", "lon", "lat"), v.ais(spark, sf).select("mmsi", "lon", "lat"), 0.1)
-    return pairs.groupBy("det_id").agg(F.count("*").alias("n"), F.count_distinct("r_mmsi").alias("vessels"))
+    return proximity.block_counts(v.contacts(spark, sf), v.ais(spark, sf).select("mmsi", "lon", "lat"), "det_id", "mmsi", 0.1).withColumnRenamed("entities", "vessels")
 
 
 _NEAR = f"""WITH c AS ({v.SQL_CONTACTS}), a AS ({v.SQL_AIS}), ck AS (SELECT *, floor(lat / 0.1)::BIGINT AS band FROM c), ak AS (SELECT *, floor(lat / 0.1)::BIGINT AS band FROM a),
@@ -68,8 +67,9 @@ p AS (SELECT c.event_id AS id, a.event_id AS other, {HAV} AS dist FROM a c, gene
 SELECT id, count(*) AS n, round(min(dist), 2) AS nearest_m FROM p GROUP BY id""")
 def band_join_space_time(spark, sf):
     a = v.ais(spark, sf).select("event_id", "mmsi", "ts", "lon", "lat")
-    pairs = proximity.space_time(a, a, 200_000, 43200, "ts", "ts").where("event_id <> r_event_id and mmsi <> r_mmsi")
-    return pairs.groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("n"), F.round(F.min("dist_m"), 2).alias("nearest_m"))
+    pairs = proximity.self_space_time(a, "event_id", 200_000, 43200, "ts").where("mmsi <> r_mmsi")
+    ends = pairs.select(F.explode(F.array("event_id", "r_event_id")).alias("id"), "dist_m")
+    return ends.groupBy("id").agg(F.count("*").alias("n"), F.round(F.min("dist_m"), 2).alias("nearest_m"))
 
 
 @query(_NEAR + ", i AS (SELECT DISTINCT det_id FROM p) SELECT det_id, confidence FROM c WHERE det_id NOT IN (SELECT det_id FROM i)")
@@ -83,7 +83,9 @@ def _pairs(spark, sf):
     return e.select((F.col("o_custkey") % 1000).alias("ia"), (F.col("o_orderkey") * 13 % 1200).alias("ib"), F.round(F.col("o_totalprice") / 1000, 3).alias("cost"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT o_custkey % 1000 AS ia, o_orderkey * 13 % 1200 AS ib, min(round(o_totalprice / 1000, 3)) AS cost FROM orders GROUP BY ALL), o AS (SELECT row_number() OVER (ORDER BY cost, ia, ib) AS k, * FROM p),
+g(k, ta, tb, ok) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[], false UNION ALL SELECT o.k, CASE WHEN list_contains(ta, ia) OR list_contains(tb, ib) THEN ta ELSE list_append(ta, ia) END, CASE WHEN list_contains(ta, ia) OR list_contains(tb, ib) THEN tb ELSE list_append(tb, ib) END, NOT (list_contains(ta, ia) OR list_contains(tb, ib)) FROM g JOIN o ON o.k = g.k + 1)
+SELECT ia, ib, cost FROM g JOIN o USING (k) WHERE ok""")
 def greedy_assignment(spark, sf):
     return assign.greedy(_pairs(spark, sf))
 
@@ -106,7 +108,9 @@ def cell_date_outer_match(spark, sf):
     return out.withColumn("n_pair", F.least("n_ours", "n_theirs"))
 
 
-@query()
+@query(f"""WITH RECURSIVE a AS (SELECT *, floor(lat / 0.02)::BIGINT AS band FROM ({v.SQL_AIS})), e AS (SELECT x.event_id AS a, y.event_id AS b FROM a x, generate_series(-1, 1) g(k) JOIN a y ON y.band = x.band + g.k AND abs(x.lon - y.lon) < 0.025 AND x.event_id <> y.event_id WHERE {geo.sql_haversine_m("x.lon", "x.lat", "y.lon", "y.lat")} <= 2000),
+r(id, root) AS (SELECT event_id, event_id FROM a UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), c AS (SELECT id, min(root) AS site_id FROM r GROUP BY id)
+SELECT site_id, count(*) AS n, count(DISTINCT mmsi) AS vessels, median(lon) AS lon, median(lat) AS lat, max(sog_kn) AS top_sog FROM c JOIN a ON a.event_id = c.id GROUP BY site_id""")
 def components_light_sites(spark, sf):
     """Reports within 2 km of each other, linked one by one, as sites."""
     a = v.ais(spark, sf).select("event_id", "lon", "lat", "mmsi", "sog_kn")
@@ -139,29 +143,9 @@ def polygon_containment(spark, sf):
     return v.ais(spark, sf).where(geo.in_polygon(F.col("lon"), F.col("lat"), AREA)).select("event_id", "mmsi")
 
 
-@query(f"""WITH c AS ({v.SQL_CONTACTS}), a AS ({v.SQL_AIS}), k AS (SELECT det_id, lon, lat, acq::DATE AS d, confidence FROM c),
-low AS (SELECT x.det_id, count(*) AS n_low FROM k x JOIN k y ON y.confidence = 'low' AND x.det_id <> y.det_id AND x.d = y.d AND abs(x.lat - y.lat) < 0.1 AND {geo.sql_haversine_m("x.lon", "x.lat", "y.lon", "y.lat")} <= 10000 GROUP BY 1)
-SELECT k.det_id, coalesce(low.n_low, 0) AS n_low, coalesce(low.n_low, 0) >= 1 AS clutter FROM k LEFT JOIN low USING (det_id)""")
-def clutter_zone(spark, sf):
-    """Low objects of the same date around each contact."""
-    c = v.contacts(spark, sf).select("det_id", "lon", "lat", "confidence", F.to_date("acq").alias("d"))
-    near = proximity.within(c.select("det_id", "lon", "lat", "d"), c.where("confidence = 'low'").select("det_id", "lon", "lat", "d"), 10_000, extra=("d",)).where("det_id <> r_det_id")
-    n = near.groupBy("det_id").agg(F.count("*").alias("n_low"))
-    return c.select("det_id").join(n, "det_id", "left").na.fill(0, ["n_low"]).withColumn("clutter", F.col("n_low") >= 1)
-
-
 @query(f"""WITH a AS ({v.SQL_AIS}), p AS (SELECT x.mmsi, x.event_id, {geo.sql_haversine_m("x.lon", "x.lat", "y.lon", "y.lat")} AS m, x.ts::DATE AS d, y.ts::DATE AS e FROM a x JOIN a y ON abs(x.lat - y.lat) < 0.05 AND abs(x.lon - y.lon) < 0.06 WHERE {geo.sql_haversine_m("x.lon", "x.lat", "y.lon", "y.lat")} <= 5000)
 SELECT event_id, count(DISTINCT e) - 1 AS other_days, count(DISTINCT e) - 1 >= 1 AS fixed FROM p GROUP BY event_id""")
 def persistence_on_other_days(spark, sf):
     a = v.ais(spark, sf).select("event_id", "lon", "lat", F.to_date("ts").alias("d"))
     near = proximity.within(a, a, 5_000).select("event_id", "r_d").distinct()
     return near.groupBy("event_id").agg((F.count("*") - 1).alias("other_days")).withColumn("fixed", F.col("other_days") >= 1)
-
-
-@query(_NEAR + """ SELECT det_id, CASE WHEN d <= 500 AND (r IS NULL OR r BETWEEN 0.4 AND 3.0) THEN 'high' WHEN d <= 1000 AND (r IS NULL OR r BETWEEN 0.25 AND 4.0) THEN 'medium' ELSE 'low' END AS grade
-FROM (SELECT c.det_id, min(p.dist) AS d, max(CASE WHEN c.length_m > 0 THEN c.length_m / 100 END) AS r FROM c JOIN p USING (det_id) GROUP BY c.det_id)""")
-def pair_quality(spark, sf):
-    c = v.contacts(spark, sf).groupBy("det_id", "lon", "lat").agg(F.max("length_m").alias("length_m"))
-    near = proximity.nearest(c, v.ais(spark, sf), "det_id", "event_id", 10_000).where("nearest_id is not null")
-    ratio = F.when(F.col("length_m") > 0, F.col("length_m") / 100)
-    return near.select("det_id", scalars.match_grade(F.col("nearest_m"), F.lit(0), ratio).alias("grade"))

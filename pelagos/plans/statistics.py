@@ -74,12 +74,6 @@ _GATE = f"""WITH c AS ({v.SQL_CONTACTS}), g AS (SELECT status = 'unmatched' AS u
 _NAMES = ["unmatched", "confident", "network", "calm", "size"]
 
 
-@query(_GATE + " SELECT count(*) AS n_all, " + ", ".join(f"count(*) FILTER (WHERE {' AND '.join(_NAMES[: i + 1])}) AS left_{n}, count(*) FILTER (WHERE NOT coalesce({n}, false)) AS fail_{n}" for i, n in enumerate(_NAMES)) + " FROM g")
-def gate_waterfall(spark, sf):
-    c = v.contacts(spark, sf)
-    return aggregate.waterfall(c, filters.lead_gate(c))
-
-
 @query(f"""WITH c AS ({v.SQL_CONTACTS}), b AS (SELECT {scalars.sql_bin("length_m", LENGTHS, "right")} AS bin, status FROM c) SELECT bin, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'unmatched') AS unmatched FROM b GROUP BY bin""")
 def length_bins(spark, sf):
     return aggregate.crosstab(v.contacts(spark, sf), scalars.length_bin(F.col("length_m"), LENGTHS, "right"), "status", ["matched", "unmatched"])

@@ -37,11 +37,13 @@ def record(stream: DataFrame, path: str, checkpoint: str, available_now: bool =
 
 
 def load_positions(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
-    """Recorded positions in [start, end], reading only the hours' partitions that can hold them."""
+    """Recorded positions in [start, end], reading only the partitions of the days and hours that can hold them."""
     df = spark.read.option("ignoreCorruptFiles", True).parquet(path)
     day = F.col("day").cast("string")
     a, b = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    return df.where((day >= F.date_format(a, "yyyyMMdd")) & (day <= F.date_format(b, "yyyyMMdd")) & F.col("ts").between(a, b))
+    hour = F.concat(day, F.lpad(F.col("hh").cast("string"), 2, "0"))
+    days = day.between(F.date_format(a, "yyyyMMdd"), F.date_format(b, "yyyyMMdd"))
+    return df.where(days & hour.between(F.date_format(a, "yyyyMMddHH"), F.date_format(b, "yyyyMMddHH")) & F.col("ts").between(a, b))
 
 
 def scene_window(scenes: DataFrame, reports: DataFrame, seconds: int = 1800) -> DataFrame:
