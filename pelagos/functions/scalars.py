@@ -140,3 +140,13 @@ def half_up(x: Column) -> Column:
 def mid_of(mmsi: Column) -> Column:
     """Maritime identification digits of a ship station, else null."""
     return F.when(mmsi.between(201000000, 775999999), F.floor(mmsi / 1000000))
+
+
+def covariates(scr_vv: Column, scr_vh: Column, n_pixels: Column, length_m: Column, pol_class: Column, pixel_m: float = 10.0) -> dict[str, Column]:
+    """The stronger channel's contrast, the width that the pixels fill at this length, and whether both channels saw it; null where an input is missing."""
+    return {"scr_max": F.greatest(scr_vv, scr_vh), "fill_width": F.when(length_m > 0, n_pixels * pixel_m * pixel_m / length_m), "dual": F.when(pol_class.isNotNull(), (pol_class == "VV+VH").cast("int"))}
+
+
+def presence(value: Column) -> Column:
+    """Whether there is any; unknown stays unknown."""
+    return F.when(value.isNotNull(), value > 0)
