@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pelagos.functions import geo
-from pelagos.operators import aggregate, filters, paging, proximity
+from pelagos.operators import aggregate, filters, paging, service
 from pelagos.plans.registry import query
 from pelagos.sources import views as v
+from pelagos.streaming import live
 
 
 @query(f"""WITH a AS ({v.SQL_AIS}) SELECT event_id, mmsi, round(sog_kn, 6) AS sog_kn FROM a WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' AND lon BETWEEN 100 AND 115 AND lat BETWEEN 0 AND 20 ORDER BY a.sog_kn DESC NULLS LAST, event_id LIMIT 100 OFFSET 50""")
@@ -96,3 +97,69 @@ def object_counts(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+_STATES = ("new", "reviewing", "closed_explained", "closed_unexplained", "closed_false_alarm", "lost")
+_TEXTS = ("VMS fleet", "vms_fleet", "other", "Rain cell (note required)", None, "no carriage requirement", "nonsense", "sea_clutter")
+_ALLOWED_SQL = " OR ".join(f"(f = '{a}' AND t IN ({', '.join(repr(x) for x in b)}))" for a, b in service.ALLOWED.items())
+_PLAIN = "trim(regexp_replace(replace(lower(trim(coalesce(r, ''))), '_', ' '), '\\(note required\\)$', ''))"
+_REASON = "CASE " + " ".join(f"WHEN t = '{s}' AND p IN ('{x.lower()}', '{x.lower().split(' (')[0]}') THEN '{x}'" for s, xs in service.REASONS.items() for x in xs) + " END"
+
+
+@query(f"""WITH d AS (SELECT event_id, {v._sql_pick('event_id', 6, *_STATES)} AS f, {v._sql_pick('(event_id // 6)', 6, *_STATES)} AS t, {v._sql_pick('(event_id // 7)', 8, *_TEXTS)} AS r, CASE WHEN event_id % 5 = 0 THEN 'seen' WHEN event_id % 5 = 1 THEN ' ' END AS note FROM events), q AS (SELECT *, {_PLAIN} AS p FROM d), n AS (SELECT *, {_REASON} AS reason, trim(coalesce(note, '')) = '' AS bare FROM q)
+SELECT event_id, reason, CASE WHEN NOT ({_ALLOWED_SQL}) THEN 'transition_not_allowed' WHEN t IN ('closed_explained', 'closed_false_alarm') AND reason IS NULL THEN 'reason_required' WHEN t IN ('closed_explained', 'closed_false_alarm') AND reason = 'other' AND bare THEN 'note_required' WHEN t = 'closed_unexplained' AND bare THEN 'note_required' WHEN t = 'reviewing' AND f LIKE 'closed%' AND bare THEN 'note_required' END AS problem FROM n""")
+def decision_rules(spark, sf):
+    """Which decisions on leads may stand, and the reason they mean."""
+    e = v.table(spark, sf, "events").withColumns({"e6": F.expr("event_id div 6"), "e7": F.expr("event_id div 7")})
+    d = e.select("event_id", v._pick("event_id", 6, *_STATES).alias("f"), v._pick("e6", 6, *_STATES).alias("t"), v._pick("e7", 8, *_TEXTS).alias("r"), F.when(F.col("event_id") % 5 == 0, "seen").when(F.col("event_id") % 5 == 1, " ").alias("note"))
+    return d.select("event_id", service.canonical_reason(F.col("t"), F.col("r")).alias("reason"), service.decision_problem(F.col("f"), F.col("t"), F.col("r"), F.col("note")).alias("problem"))
+
+
+@query()
+def decision_states(spark, sf):
+    """The state of each lead after its log; entries that do not follow are passed by."""
+    e = v.table(spark, sf, "events").withColumns({"e6": F.expr("event_id div 6"), "e7": F.expr("event_id div 7")})
+    log = e.select(F.col("user_id").alias("lead_id"), "event_id", v._pick("e6", 6, *_STATES).alias("to_state"), v._pick("e7", 8, *_TEXTS).alias("reason"), F.lit("seen").alias("note"))
+    return service.replay(log, "lead_id", "event_id")
+
+
+@query(f"""SELECT det_id, confidence, round(cnn_score, 6) AS cnn_score FROM ({v.SQL_OBJECTS}) WHERE lon BETWEEN 105.02 AND 105.2 AND lat BETWEEN 10.02 AND 10.25 AND confidence IN ('high', 'fixed') AND match_ambiguous IN (false) AND cnn_score >= 0.3 AND length_m <= 350 ORDER BY cnn_score DESC NULLS LAST, det_id LIMIT 60 OFFSET 5""")
+def contacts_query(spark, sf):
+    """The list endpoint's filters, order and page."""
+    params = {"bbox": "105.02,10.02,105.2,10.25", "class": "high,fixed", "ambiguous": "false", "min_cnn": "0.3", "max_length": "350", "sort": "-cnn_score", "limit": "60", "offset": "5"}
+    out = service.list_query(v.objects(spark, sf), params, {"class": "confidence", "ambiguous": "match_ambiguous"}, {"min_cnn": ("cnn_score", "min"), "max_length": ("length_m", "max")}, "acq", ("-cnn_score", ("cnn_score", "length_m"), "det_id"))
+    return out.select("det_id", "confidence", F.round("cnn_score", 6).alias("cnn_score"))
+
+
+@query(f"""SELECT det_id, strftime(acq, '%Y-%m-%dT%H:%M:%SZ') AS acq, wind_ms, coalesce(n_low_1km, 0)::INTEGER AS n_low_1km, 'open' AS build, NULL::VARCHAR AS vessel_key, match_ambiguous FROM ({v.SQL_OBJECTS})""")
+def contact_records(spark, sf):
+    """Records of fixed shape with defaults."""
+    fields = [("det_id", "string"), ("acq", "time"), ("wind_ms", "double"), ("n_low_1km", "int"), ("build", "string"), ("vessel_key", "string"), ("match_ambiguous", "boolean")]
+    return service.records(v.objects(spark, sf), fields, {"n_low_1km": 0, "build": "open"})
+
+
+@query("""WITH h AS (SELECT 'customer' AS kind, c_name AS id, c_mktsegment AS label, starts_with(upper(c_name), 'CUSTOMER#00000001') AS hit FROM customer UNION ALL SELECT 'part', p_name, p_type, starts_with(upper(p_name), 'CUSTOMER#00000001') FROM part UNION ALL SELECT 'supplier', s_name, s_name, starts_with(upper(s_name), 'CUSTOMER#00000001') FROM supplier)
+SELECT kind, id, label, CASE WHEN hit THEN CASE kind WHEN 'customer' THEN 0.95 WHEN 'part' THEN 0.9 ELSE 0.8 END WHEN upper(label) = 'CUSTOMER#00000001' THEN 1.0 ELSE 0.6 END::DOUBLE AS score FROM h WHERE hit OR contains(upper(label), 'CUSTOMER#00000001') ORDER BY score DESC, kind, id LIMIT 25""")
+def search_kinds(spark, sf):
+    c, p, s = (v.table(spark, sf, t) for t in ("customer", "part", "supplier"))
+    return service.search([("customer", c, "c_name", "c_mktsegment", 0.95), ("part", p, "p_name", "p_type", 0.9), ("supplier", s, "s_name", "s_name", 0.8)], "Customer#00000001", 25)
+
+
+@query("""WITH b AS (SELECT event_id, event_id % 4 <> 0 AS alive, CASE WHEN event_id % 3 <> 0 THEN (event_id * 7 % 1500)::DOUBLE END AS ago, (event_id * 13 % 400)::DOUBLE AS up, event_id % 5 AS streak FROM events)
+SELECT event_id, CASE WHEN NOT alive THEN 'not_running' WHEN ago IS NULL AND up < 180 THEN 'starting' WHEN coalesce(ago, up) > 600 THEN 'stale' ELSE 'ok' END AS health, CASE WHEN streak <= 0 THEN 0.0 ELSE greatest(0.0, [60.0, 300.0, 900.0][least(streak, 3)] - up) END::DOUBLE AS wait_s FROM b""")
+def recorder_health(spark, sf):
+    e = v.table(spark, sf, "events")
+    k, now = F.col("event_id"), F.lit("2024-02-01 00:00:00").cast("timestamp")
+    back = lambda s: F.timestamp_micros(F.unix_micros(now) - s * 1_000_000)
+    up = (k * 13 % 400).cast("double")
+    health = live.recorder_health(k % 4 != 0, F.when(k % 3 != 0, back(k * 7 % 1500)), back(k * 13 % 400), now)
+    return e.select("event_id", health.alias("health"), live.restart_wait_s(k % 5, up).alias("wait_s"))
+
+
+@query(f"""WITH s AS (SELECT scene_id, acq, epoch_us(acq) + 7200000000 AS done FROM ({v.SQL_OBJECT_SCENES})), r AS (SELECT ts, epoch_us(ts) + (event_id % 5) * 3600000000 AS rec FROM ({v.SQL_REPORTS})) SELECT s.scene_id, count(*) AS late FROM s JOIN r ON abs(epoch_us(r.ts) - epoch_us(s.acq)) <= 1800000000 AND r.rec > s.done GROUP BY 1""")
+def scenes_to_rematch(spark, sf):
+    """Scenes with reports that arrived after they were processed."""
+    s = v.object_scenes(spark, sf).select("scene_id", F.col("acq").alias("at"))
+    done = s.select("scene_id", F.timestamp_micros(F.unix_micros("at") + 7_200_000_000).alias("processed"))
+    r = v.reports(spark, sf).select("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") % 5 * 3_600_000_000).alias("received"))
+    return live.rematch(s, done, r)

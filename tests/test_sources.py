@@ -56,3 +56,37 @@ def test_recorder_dedupes_drops_skew_and_partitions(spark, tmp_path):
     assert one.count() == 1
     scenes = spark.createDataFrame([(1, 0)], "scene_id long, d long").select("scene_id", F.lit("2024-01-01 11:00:00").cast("timestamp").alias("at"))
     assert recorder.scene_window(scenes, got).count() == 1
+
+
+def test_latest_static_is_kept_as_state(spark, tmp_path):
+    from pelagos.streaming import live
+
+    (tmp_path / "in").mkdir()
+    rows = [{"mmsi": 1, "seen": "2024-01-01T10:00:00Z", "name": "A", "ship_type": 70}, {"mmsi": 1, "seen": "2024-01-01T11:00:00Z", "callsign": "X"}, {"mmsi": 2, "seen": "2024-01-01T10:00:00Z", "length_m": 30.0}]
+    (tmp_path / "in/a.json").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "in/b.json").write_text(json.dumps({"mmsi": 1, "seen": "2024-01-01T09:00:00Z", "name": "old", "length_m": 99.0}))
+    stream = spark.readStream.schema(live.STATIC).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = {}
+    live.latest_static(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: got.update({r.mmsi: r for r in df.collect()})).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+    one = got[1]
+    assert (one.name, one.callsign, one.ship_type, one.length_m, one.n_messages) == ("A", "X", 70, 99.0, 3)
+    assert got[2].length_m == 30.0 and got[2].name is None
+
+
+def test_cycle_keeps_status_and_tries_again(spark, tmp_path):
+    from pelagos.streaming import live
+
+    scenes = spark.createDataFrame([("a", "2024-01-01 10:00:00"), ("b", "2024-01-01 11:00:00"), ("c", "2024-01-02 11:00:00")], "scene_id string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    reports = spark.createDataFrame([("2024-01-01 10:10:00",), ("2024-01-01 11:10:00",)], "ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    seen = []
+
+    def process(scene, window):
+        seen.append(scene)
+        if scene == "b" and seen.count("b") < 2:
+            raise RuntimeError("first try fails")
+        assert window.count() == 1
+
+    cycle = live.Cycle(spark, str(tmp_path / "live"), process)
+    assert cycle.run(scenes, reports) == {"a": live.DONE, "b": live.FAILED, "c": live.SKIPPED}
+    assert cycle.run(scenes, reports) == {"b": live.DONE, "c": live.SKIPPED}
+    assert seen == ["a", "b", "b"] and cycle.due(scenes).collect()[0].scene_id == "c"
