@@ -32,3 +32,54 @@ def encode_times(spark, sf):
 def encode_ids(spark, sf):
     prefix, number, width = encode.split_id(F.col("c_name"))
     return v.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), prefix.alias("prefix"), number.alias("number"), width.alias("width"))
+
+
+_SAT = ("Suomi NPP", "NOAA-20", "NOAA-21", "other")
+
+
+@query(f"""WITH l AS (SELECT k, ts, {v._sql_pick('k', 4, *_SAT)} AS sat, 'VNL_' || CASE {v._sql_pick('k', 4, *_SAT)} WHEN 'Suomi NPP' THEN 'NPP' WHEN 'NOAA-20' THEN 'J01' WHEN 'NOAA-21' THEN 'J02' END || '_' || strftime(ts, '%Y%m%dT%H%M%S') || '_' || lpad(k::VARCHAR, 6, '0') AS id FROM ({v.SQL_LIGHTS}))
+SELECT k, id AS ident, CASE WHEN id IS NOT NULL AND k % 7 <> 0 THEN k END AS idx FROM l""")
+def encode_light_ids(spark, sf):
+    """Ids rebuilt from satellite, time and index; one in seven does not follow the rule."""
+    l = v.lights(spark, sf).withColumn("sat", v._pick("k", 4, *_SAT))  # noqa: E741
+    ident = encode.light_id(F.col("sat"), F.col("ts"), F.col("k"))
+    stored = F.when(F.col("k") % 7 == 0, F.concat(ident, F.lit("x"))).otherwise(ident)
+    return l.select("k", ident.alias("ident"), encode.light_index(stored, F.col("sat"), F.col("ts")).alias("idx"))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_name, s_suppkey) - 1 AS ref FROM supplier) SELECT c_custkey AS id, coalesce(t.ref, 65535)::INTEGER AS ref FROM customer LEFT JOIN t ON t.id = c_custkey""")
+def encode_references(spark, sf):
+    c = v.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return encode.row_references(c, "id", v.table(spark, sf, "supplier"), "s_suppkey", "s_name").select("id", F.col("ref").cast("int").alias("ref"))
+
+
+@query("""SELECT * FROM (VALUES ('det_id', 'str'), ('scene_id', 'num'), ('acq', 'time'), ('confidence', 'dict'), ('deep_convection', 'bool8'), ('wind_ms', 'num')) t("column", kind)""")
+def encode_choice(spark, sf):
+    """How the columns of the contacts are best stored."""
+    return encode.choose(v.objects(spark, sf), ["det_id", "scene_id", "acq", "confidence", "deep_convection", "wind_ms"])
+
+
+@query(f"SELECT det_id, round(wind_ms, 1) AS wind_ms, deep_convection AS deep, epoch_us(acq) AS t, confidence, round(lon, 5) AS lon, round(lat, 5) AS lat FROM ({v.SQL_OBJECTS})")
+def encode_round_trip(spark, sf):
+    """A layer's columns coded and decoded again."""
+    o = v.objects(spark, sf)
+    d = encode.dictionary(o, "confidence")
+    coded = o.join(d.withColumnRenamed("value", "confidence"), "confidence").select("det_id", F.col("code"), encode.scaled_code(F.col("wind_ms"), 10, 16).alias("w"), encode.bool_code(F.col("deep_convection")).alias("b"), (F.unix_seconds("acq") - 1705276800).alias("t"), *(x.alias(n) for x, n in zip(encode.packed_points(F.col("lon"), F.col("lat")), ("x", "y"), strict=True)))
+    back = encode.decode_dictionary(coded, "code", d, "confidence")
+    return back.select("det_id", encode.decode_scaled(F.col("w"), 10, 16).alias("wind_ms"), encode.decode_bool(F.col("b")).alias("deep"), F.unix_micros(encode.decode_time(F.col("t"), F.lit(1705276800))).alias("t"), "confidence", (F.col("x") / 1e5).alias("lon"), (F.col("y") / 1e5).alias("lat"))
+
+
+@query(f"""WITH r AS (SELECT mmsi, row_number() OVER (PARTITION BY mmsi ORDER BY ts, event_id) AS i, round(lon, 5) AS lon, round(lat, 5) AS lat FROM ({v.SQL_REPORTS})) SELECT mmsi, count(*) AS n, round(sum(lon), 4) AS lon_sum, round(sum(lat), 4) AS lat_sum, arg_max(lon, i) AS last_lon FROM r GROUP BY mmsi""")
+def encode_lines(spark, sf):
+    """Tracks packed as steps and unpacked."""
+    r = v.reports(spark, sf).groupBy("mmsi").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "lon", "lat"))), lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("p"))
+    back = encode.unpacked_line(encode.packed_line(F.col("p")))
+    total = lambda c: F.round(F.aggregate(back, F.lit(0.0), lambda a, x: a + x[c]), 4)
+    return r.select("mmsi", F.size(back).cast("long").alias("n"), total("lon").alias("lon_sum"), total("lat").alias("lat_sum"), F.element_at(back, -1)["lon"].alias("last_lon"))
+
+
+@query(f"""SELECT pass_id, count(*) AS n, count(*) FILTER (WHERE confidence = 'high') AS high, min(CASE WHEN match_ambiguous THEN 1 WHEN NOT match_ambiguous THEN 0 ELSE 255 END) AS b FROM ({v.SQL_OBJECTS}) GROUP BY 1""")
+def encode_contacts_part(spark, sf):
+    """A layer endpoint's parts, coded and counted per pass."""
+    o = v.objects(spark, sf).withColumn("b", encode.bool_code(F.col("match_ambiguous")))
+    return o.groupBy("pass_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("confidence") == "high", 1)).alias("high"), F.min("b").alias("b"))
