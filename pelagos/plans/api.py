@@ -123,10 +123,10 @@ def decision_states(spark, sf):
     return service.replay(log, "lead_id", "event_id")
 
 
-@query(f"""SELECT det_id, confidence, round(cnn_score, 6) AS cnn_score FROM ({v.SQL_OBJECTS}) WHERE lon BETWEEN 105.02 AND 105.2 AND lat BETWEEN 10.02 AND 10.25 AND confidence IN ('high', 'fixed') AND match_ambiguous IN (false) AND cnn_score >= 0.3 AND length_m <= 350 ORDER BY cnn_score DESC NULLS LAST, det_id LIMIT 60 OFFSET 5""")
+@query(f"""SELECT det_id, confidence, round(cnn_score, 6) AS cnn_score FROM ({v.SQL_OBJECTS}) WHERE lon BETWEEN 105.06 AND 105.6 AND lat BETWEEN 10.06 AND 10.75 AND confidence IN ('high', 'fixed') AND match_ambiguous IN (false) AND cnn_score >= 0.3 AND length_m <= 350 ORDER BY cnn_score DESC NULLS LAST, det_id LIMIT 60 OFFSET 5""")
 def contacts_query(spark, sf):
     """The list endpoint's filters, order and page."""
-    params = {"bbox": "105.02,10.02,105.2,10.25", "class": "high,fixed", "ambiguous": "false", "min_cnn": "0.3", "max_length": "350", "sort": "-cnn_score", "limit": "60", "offset": "5"}
+    params = {"bbox": "105.06,10.06,105.6,10.75", "class": "high,fixed", "ambiguous": "false", "min_cnn": "0.3", "max_length": "350", "sort": "-cnn_score", "limit": "60", "offset": "5"}
     out = service.list_query(v.objects(spark, sf), params, {"class": "confidence", "ambiguous": "match_ambiguous"}, {"min_cnn": ("cnn_score", "min"), "max_length": ("length_m", "max")}, "acq", ("-cnn_score", ("cnn_score", "length_m"), "det_id"))
     return out.select("det_id", "confidence", F.round("cnn_score", 6).alias("cnn_score"))
 

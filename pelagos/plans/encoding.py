@@ -69,12 +69,12 @@ def encode_round_trip(spark, sf):
     return back.select("det_id", encode.decode_scaled(F.col("w"), 10, 16).alias("wind_ms"), encode.decode_bool(F.col("b")).alias("deep"), F.unix_micros(encode.decode_time(F.col("t"), F.lit(1705276800))).alias("t"), "confidence", (F.col("x") / 1e5).alias("lon"), (F.col("y") / 1e5).alias("lat"))
 
 
-@query(f"""WITH r AS (SELECT mmsi, row_number() OVER (PARTITION BY mmsi ORDER BY ts, event_id) AS i, round(lon, 5) AS lon, round(lat, 5) AS lat FROM ({v.SQL_REPORTS})) SELECT mmsi, count(*) AS n, round(sum(lon), 4) AS lon_sum, round(sum(lat), 4) AS lat_sum, arg_max(lon, i) AS last_lon FROM r GROUP BY mmsi""")
+@query(f"""WITH r AS (SELECT mmsi, row_number() OVER (PARTITION BY mmsi ORDER BY ts, event_id) AS i, round(lon, 5) AS lon, round(lat, 5) AS lat FROM ({v.SQL_REPORTS})) SELECT mmsi, count(*) AS n, round(sum(lon), 2) AS lon_sum, round(sum(lat), 2) AS lat_sum, arg_max(lon, i) AS last_lon FROM r GROUP BY mmsi""")
 def encode_lines(spark, sf):
     """Tracks packed as steps and unpacked."""
     r = v.reports(spark, sf).groupBy("mmsi").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "lon", "lat"))), lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("p"))
     back = encode.unpacked_line(encode.packed_line(F.col("p")))
-    total = lambda c: F.round(F.aggregate(back, F.lit(0.0), lambda a, x: a + x[c]), 4)
+    total = lambda c: F.round(F.aggregate(back, F.lit(0.0), lambda a, x: a + x[c]), 2)
     return r.select("mmsi", F.size(back).cast("long").alias("n"), total("lon").alias("lon_sum"), total("lat").alias("lat_sum"), F.element_at(back, -1)["lon"].alias("last_lon"))
 
 

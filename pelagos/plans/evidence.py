@@ -56,7 +56,7 @@ def weather_filled(spark, sf):
     return out.select("det_id", F.round("wind_ms", 6).alias("wind_ms"))
 
 
-BOXES = (("west", 105.0, 10.0, 105.12, 10.28), ("north", 105.0, 10.14, 105.24, 10.28))
+BOXES = (("west", 105.0, 10.0, 105.36, 10.84), ("north", 105.0, 10.42, 105.72, 10.84))
 _BOX = "(VALUES ('All', -180, -90, 181, 91), " + ", ".join(f"('{n}', {w}, {s}, {x}, {t})" for n, w, s, x, t in BOXES) + ") q(box, w, s, e, n)"
 
 
@@ -279,12 +279,12 @@ def pass_lookup(spark, sf):
 _SHIFT = "0.005::DOUBLE"
 
 
-@query(f"""WITH c AS (SELECT det_id, lon, lat FROM ({v.SQL_OBJECTS})), s AS (SELECT light_id, round(lon / 0.01) * 0.01 AS lon, round(lat / 0.01) * 0.01 AS lat FROM ({v.SQL_LIGHTS})), r AS (SELECT 'centre' AS reading, light_id, lon, lat FROM s UNION ALL SELECT 'corner', light_id, lon + {_SHIFT}, lat + {_SHIFT} FROM s),
+@query(f"""WITH c AS (SELECT det_id, lon, lat FROM ({v.SQL_OBJECTS})), s AS (SELECT light_id, floor(lon / 0.01 + 0.5) * 0.01 AS lon, floor(lat / 0.01 + 0.5) * 0.01 AS lat FROM ({v.SQL_LIGHTS})), r AS (SELECT 'centre' AS reading, light_id, lon, lat FROM s UNION ALL SELECT 'corner', light_id, lon + {_SHIFT}, lat + {_SHIFT} FROM s),
 p AS (SELECT r.reading, {_hav('c', 'r')} AS d FROM c JOIN r ON abs(c.lat - r.lat) < 0.01 WHERE {_hav('c', 'r')} <= 556), g AS (SELECT reading, count(*) AS n_pairs, round(median(d), 3) AS median_m FROM p GROUP BY 1) SELECT *, row_number() OVER (ORDER BY n_pairs DESC, median_m, reading) = 1 AS kept FROM g""")
 def alignment_check(spark, sf):
     """Cells read by their centre or by their corner: the reading with more pairs within half a cell is kept."""
     c = v.objects(spark, sf).select("det_id", "lon", "lat")
-    snap = lambda x: F.rint(F.col(x) / 0.01) * 0.01
+    snap = lambda x: F.floor(F.col(x) / 0.01 + 0.5) * 0.01
     s = v.lights(spark, sf).select("light_id", snap("lon").alias("lon"), snap("lat").alias("lat"))
     r = s.withColumn("reading", F.lit("centre")).unionByName(s.select("light_id", (F.col("lon") + 0.005).alias("lon"), (F.col("lat") + 0.005).alias("lat"), F.lit("corner").alias("reading")))
     g = proximity.within(c, r, 556.0).groupBy(F.col("r_reading").alias("reading")).agg(F.count("*").alias("n_pairs"), F.round(F.median("dist_m"), 3).alias("median_m"))

@@ -32,7 +32,7 @@ def identity_job(spark, sf):
     return out.select("det_id", status.alias("ais_status"), "vessel", F.size("ids").cast("long").alias("n_events"))
 
 
-_STEPS = (0.02, 0.05, 0.1)
+_STEPS = (0.05, 0.1, 0.25)
 
 
 @query(" UNION ALL ".join(f"SELECT {r}::DOUBLE AS res, count(*) AS cells, sum(least(a, b))::BIGINT AS pairs, count(*) FILTER (WHERE a > 0 AND b > 0) AS \"both\" FROM (SELECT floor(lon / {r} + 0.5) AS cx, floor(lat / {r} + 0.5) AS cy, k % 9 AS day, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM (SELECT lon, lat, k, 0 AS side FROM ({v.SQL_OBJECTS}) UNION ALL SELECT lon, lat, k, 1 FROM ({v.SQL_LIGHTS})) GROUP BY ALL)" for r in _STEPS))

@@ -26,11 +26,11 @@ placed AS (SELECT scene_id, mmsi, CASE WHEN two THEN 'interp' WHEN moving THEN '
     CASE WHEN moving AND n.gap <= 600 THEN n.sog WHEN two THEN sqrt(pow((f.lon - b.lon) * cos(radians(b.lat)) / {METRE} / (f.dt - b.dt), 2) + pow((f.lat - b.lat) / {METRE} / (f.dt - b.dt), 2)) / {KN} END AS speed_kn FROM w WHERE two OR n.gap <= 600)"""
 
 
-@query(f"WITH {_PLACED} SELECT scene_id, mmsi, method, round(dt_s, 3) AS dt_s, sog_kn, n_reports, length_m, round(lon, 5) AS lon, round(lat, 5) AS lat, round(speed_kn, 3) AS speed_kn FROM placed")
+@query(f"WITH {_PLACED} SELECT scene_id, mmsi, method, round(dt_s, 3) AS dt_s, sog_kn, n_reports, length_m, round(lon, 7) AS lon, round(lat, 7) AS lat, round(speed_kn, 3) AS speed_kn FROM placed")
 def placed_vessels(spark, sf):
     """Every vessel that can be placed at a scene's time: interpolated, dead-reckoned or its nearest report."""
     p = m.positions_at(v.reports(spark, sf), v.object_scenes(spark, sf))
-    return p.select("scene_id", "mmsi", "method", F.round("dt_s", 3).alias("dt_s"), "sog_kn", "n_reports", "length_m", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), F.round("speed_kn", 3).alias("speed_kn"))
+    return p.select("scene_id", "mmsi", "method", F.round("dt_s", 3).alias("dt_s"), "sog_kn", "n_reports", "length_m", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), F.round("speed_kn", 3).alias("speed_kn"))
 
 
 _PAIRS = f"""{_PLACED}, o AS ({v.SQL_OBJECTS}), x AS (SELECT o.scene_id, o.det_id, p.mmsi, {geo.sql_haversine_m("o.lon", "o.lat", "p.lon", "p.lat")} AS dist_m, o.length_m, p.length_m AS length_ais, o.confidence, coalesce(p.sog_kn, p.speed_kn) AS speed_kn, p.dt_s FROM o JOIN placed p ON o.scene_id = p.scene_id AND abs(o.lat - p.lat) < 0.02),

@@ -20,13 +20,13 @@ def hourly_tracks(spark, sf):
 
 @query(f"""WITH {_POINTS}, s AS (SELECT scene_id, epoch_us(acq) // 1000000 AS a FROM ({v.SQL_OBJECT_SCENES})), x AS (SELECT s.scene_id, k.vessel, k.lon, k.lat, k.t - s.a AS dt FROM s, tracks k WHERE abs(k.t - s.a) <= 21600),
 b AS (SELECT scene_id, vessel, min(struct_pack(g := abs(dt), lon := lon, lat := lat, d := dt)) FILTER (WHERE dt <= 0) AS b, min(struct_pack(g := abs(dt), lon := lon, lat := lat, d := dt)) FILTER (WHERE dt > 0) AS f, min(struct_pack(g := abs(dt), d := dt)) AS n FROM x GROUP BY ALL)
-SELECT scene_id, vessel, round(CASE WHEN b IS NULL THEN f.lon WHEN f IS NULL THEN b.lon ELSE b.lon + b.g / (b.g + f.g) * (f.lon - b.lon) END, 5) AS lon, round(CASE WHEN b IS NULL THEN f.lat WHEN f IS NULL THEN b.lat ELSE b.lat + b.g / (b.g + f.g) * (f.lat - b.lat) END, 5) AS lat, round_even(n.d / 3600, 0)::INTEGER AS dh FROM b""")
+SELECT scene_id, vessel, round(CASE WHEN b IS NULL THEN f.lon WHEN f IS NULL THEN b.lon ELSE b.lon + b.g / (b.g + f.g) * (f.lon - b.lon) END, 7) AS lon, round(CASE WHEN b IS NULL THEN f.lat WHEN f IS NULL THEN b.lat ELSE b.lat + b.g / (b.g + f.g) * (f.lat - b.lat) END, 7) AS lat, round_even(n.d / 3600, 0)::INTEGER AS dh FROM b""")
 def track_positions(spark, sf):
     """Where each vessel's hourly track is at the scenes' times."""
     r = v.reports(spark, sf).withColumnRenamed("mmsi", "vessel")
     t = tracks.hourly_tracks(r, "vessel")
     at = v.object_scenes(spark, sf).select("scene_id", "acq").crossJoin(t.select("vessel").distinct())  # forty scenes
-    return tracks.track_position(t, at, "vessel", "acq", 6).select("scene_id", "vessel", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), "dh")
+    return tracks.track_position(t, at, "vessel", "acq", 6).select("scene_id", "vessel", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), "dh")
 
 
 @query()

@@ -59,20 +59,20 @@ SQL_WORKS = "SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS
 SQL_SCENES = "SELECT o_orderkey AS scene_id, o_orderstatus AS mission, o_custkey % 175 AS orbit, o_orderdate + to_minutes((o_orderkey * 37 % 1440)::INTEGER) AS start, (o_orderkey % 25 + 1)::INTEGER AS minutes, o_orderdate + to_minutes((o_orderkey * 37 % 1440 + o_orderkey % 25 + 1)::INTEGER) AS stop FROM orders"
 
 
-# A small busy sea (25 by 30 km around 105 E, 10 N, half a day of reports), on which the matcher's limits of metres and minutes have something to decide.
+# A small busy sea (75 by 90 km from 105 E, 10 N, half a day of reports), on which the matcher's limits of metres and minutes have something to decide.
 _DAY = 1705276800000000  # 2024-01-15 in microseconds
 
 
 def _near_lon(key: str):
-    return F.lit(105.0) + (F.col(key) * 7919 % 23250) / F.lit(100000.0)
+    return F.lit(105.0) + (F.col(key) * 7919 % 69750) / F.lit(100000.0)
 
 
 def _near_lat(key: str):
-    return F.lit(10.0) + (F.col(key) * 104729 % 27250) / F.lit(100000.0)
+    return F.lit(10.0) + (F.col(key) * 104729 % 81750) / F.lit(100000.0)
 
 
 def _sql_near(key: str) -> str:
-    return f"105.0::DOUBLE + ({key} * 7919 % 23250)::DOUBLE / 100000.0 AS lon, 10.0::DOUBLE + ({key} * 104729 % 27250)::DOUBLE / 100000.0 AS lat"
+    return f"105.0::DOUBLE + ({key} * 7919 % 69750)::DOUBLE / 100000.0 AS lon, 10.0::DOUBLE + ({key} * 104729 % 81750)::DOUBLE / 100000.0 AS lat"
 
 
 def _pick(key: str, n: int, *values):
@@ -164,8 +164,8 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planned passes with boxes: pass_group, start, west, south, east, north, status."""
     n = table(spark, sf_dir, "nation").withColumn("k", F.col("n_nationkey").cast("long"))
     k = F.col("k")
-    w, s = F.lit(105.0) + (k * 3 % 20) / F.lit(100.0), F.lit(10.0) + (k * 7 % 24) / F.lit(100.0)
-    return n.select(F.concat(F.lit("G"), k.cast("string")).alias("pass_group"), F.timestamp_micros(F.lit(_DAY) + k * 45 * 60_000_000).alias("start"), w.alias("west"), s.alias("south"), (w + 0.101).alias("east"), (s + 0.101).alias("north"), _pick("k", 6, "past", "planned").alias("status"))
+    w, s = F.lit(105.0) + (k * 3 % 20) / F.lit(33.0), F.lit(10.0) + (k * 7 % 24) / F.lit(33.0)
+    return n.select(F.concat(F.lit("G"), k.cast("string")).alias("pass_group"), F.timestamp_micros(F.lit(_DAY) + k * 45 * 60_000_000).alias("start"), w.alias("west"), s.alias("south"), (w + 0.301).alias("east"), (s + 0.301).alias("north"), _pick("k", 6, "past", "planned").alias("status"))
 
 
-SQL_PLAN = f"SELECT 'G' || k AS pass_group, make_timestamp({_DAY} + k * 45 * 60000000) AS start, w AS west, s AS south, w + 0.101::DOUBLE AS east, s + 0.101::DOUBLE AS north, {_sql_pick('k', 6, 'past', 'planned')} AS status FROM (SELECT k, 105.0::DOUBLE + (k * 3 % 20)::DOUBLE / 100.0 AS w, 10.0::DOUBLE + (k * 7 % 24)::DOUBLE / 100.0 AS s FROM (SELECT n_nationkey::BIGINT AS k FROM nation))"
+SQL_PLAN = f"SELECT 'G' || k AS pass_group, make_timestamp({_DAY} + k * 45 * 60000000) AS start, w AS west, s AS south, w + 0.301::DOUBLE AS east, s + 0.301::DOUBLE AS north, {_sql_pick('k', 6, 'past', 'planned')} AS status FROM (SELECT k, 105.0::DOUBLE + (k * 3 % 20)::DOUBLE / 33.0 AS w, 10.0::DOUBLE + (k * 7 % 24)::DOUBLE / 33.0 AS s FROM (SELECT n_nationkey::BIGINT AS k FROM nation))"
