@@ -10,23 +10,20 @@ from pelagos.operators import dedupe, passages
 from pelagos.plans.registry import query
 from pelagos.sources import views as v
 
-# Words that make a text belong to a theme.
+# Words of the tables' invented prose that stand in for themes here; the real themes are in pelagos.functions.works.
 WORDS = {"detection": "the|detect", "night": "night|light|und", "sea": "sea|mer|la", "vessel": "ship|vessel|que"}
-
-
-def words_of(text):
-    """The different words of a text, split once for all themes."""
-    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
-
-
-def has_word(text, words: str):
-    return F.arrays_overlap(words_of(text), F.array(*(F.lit(x) for x in words.split("|"))))
-
-
 #: A whole word, whatever letters stand beside it.
 THEMES = {name: rf"(?:^|[^\p{{L}}])(?:{words})(?:[^\p{{L}}]|$)" for name, words in WORDS.items()}
 
 
+def has_word(text, name: str):
+    """Whether the lower-cased text has a word of the theme; the pattern runs only where one stands in it at all."""
+    found = F.lit(False)
+    for word in WORDS[name].split("|"):
+        found = found | text.contains(word)
+    return found & text.rlike(THEMES[name])
+
+
 @query(r"""SELECT doc_id AS id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '<[^>]*>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS title_key, len(regexp_extract_all(text, '[A-Za-z]+')) AS words FROM documents""")
 def normalise_text_keys(spark, sf):
     w = v.works(spark, sf)
@@ -36,7 +33,7 @@ def normalise_text_keys(spark, sf):
 @query("SELECT doc_id AS id, " + ", ".join(f"regexp_matches(lower(text), '{p}') AS {n}" for n, p in THEMES.items()) + " FROM documents")
 def theme_flags(spark, sf):
     w = v.works(spark, sf)
-    return w.select("id", *(has_word(F.col("abstract"), words).alias(n) for n, words in WORDS.items()))
+    return w.select("id", *(has_word(F.lower("abstract"), n).alias(n) for n in WORDS))
 
 
 _T = "t AS (SELECT doc_id AS id, doc_id % 12 + 2015 AS year, source AS venue, lang, k.theme AS theme FROM documents, (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in THEMES.items()) + ") k(theme, p) WHERE regexp_matches(lower(text), k.p))"
@@ -44,8 +41,8 @@ _T = "t AS (SELECT doc_id AS id, doc_id % 12 + 2015 AS year, source AS venue, la
 
 def _themed(spark, sf):
     w = v.works(spark, sf)
-    w = w.withColumn("_words", words_of(F.col("abstract")))
-    hit = F.array_compact(F.array(*(F.when(F.arrays_overlap("_words", F.array(*(F.lit(x) for x in words.split("|")))), F.lit(n)) for n, words in WORDS.items())))
+    w = w.withColumn("_low", F.lower("abstract"))
+    hit = F.array_compact(F.array(*(F.when(has_word(F.col("_low"), n), F.lit(n)) for n in WORDS)))
     return w.select("id", "year", "venue", "lang", hit.alias("themes"))
 
 

@@ -94,3 +94,32 @@ def test_a_repeated_key_is_an_error(spark):
 def test_negative_positions_are_skipped(spark):
     row = spark.createDataFrame([('{"a": [0], "b": [-4, 1]}',)], "x string").select(parsers.abstract_of(F.col("x")).alias("t")).first()
     assert row.t == "a b"
+
+
+@pytest.mark.parametrize("chunk", [2_000_000, 50, 7])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, chunk):
+    """Numbers and texts, contracted at once, in pieces, and by rounds alone, against a walk."""
+    from pelagos.operators import graph
+
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)] + [(7, 7), (None, 3)]
+    near = {}
+    for a, b in pairs:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for n in sorted(near):
+        stack = [n]
+        while stack and n not in want:
+            stack, seen = [n], {n}
+            while stack:
+                for m in near[stack.pop()] - seen:
+                    seen.add(m)
+                    stack.append(m)
+            want.update(dict.fromkeys(seen, min(seen)))
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.node: r.root for r in graph.connected_components(frame).collect()} == want
+    text = frame.select(F.lpad(F.col("a").cast("string"), 4, "0").alias("a"), F.lpad(F.col("b").cast("string"), 4, "0").alias("b"))
+    assert {int(r.node): int(r.root) for r in graph.connected_components(text).collect()} == want
