@@ -91,3 +91,11 @@ def in_polygon(lon: Column, lat: Column, ring: list[tuple[float, float]]) -> Col
         left = lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1
         inside = inside != (crosses & left)
     return inside
+
+
+def covering_cells(spark, box: tuple[float, float, float, float], res: float):
+    """(row, col, km2): the cells from the box's north-west corner that cover it, with their areas."""
+    west, south, east, north = box
+    rows, cols = math.ceil((north - south) / res - 1e-9), math.ceil((east - west) / res - 1e-9)
+    cells = spark.range(rows * cols).select(F.expr(f"id div {cols}").alias("row"), (F.col("id") % cols).alias("col"))
+    return cells.withColumn("km2", cell_area_km2(F.lit(north) - (F.col("row") + 1) * res, res))

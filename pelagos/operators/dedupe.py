@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pelagos.functions import works
+from pelagos.functions.scalars import normalise_doi, normalise_title
+from pelagos.operators import passages
 from pelagos.operators.graph import connected_components
 from pelagos.storage import materialise
 
@@ -32,3 +35,55 @@ def resolve(records: DataFrame, record_id: str, passes: list[tuple[str, Column]]
     named = records.join(roots.withColumnRenamed("node", record_id), record_id, "left").withColumn("_root", F.coalesce("root", record_id)).drop("root")
     best = named.groupBy("_root").agg(F.min_by(record_id, F.struct(*rank, F.col(record_id))).alias("survivor"))
     return named.join(best, "_root").join(why, record_id, "left").drop("_root")
+
+
+def work_edges(records: DataFrame, least_title: int = 25, near_years: int = 1, far_years: int = 3, containment: float = 0.6) -> DataFrame:
+    """(a, b, pass): pairs of works that one of six passes merges: same id's DOI, same title and year, a secondary and a primary record of one title within a
+    year (within three if the first authors agree), a weak record whose title holds, or is held in, another's, same title and venue within a year.
+
+    Records: id (a number), doi, title, year, kind, venue, source_type, author. Within a key of the first passes members are linked to the smallest id; the
+    conditional passes compare members of a title only, and weak titles meet others through a rare inner word, so no pass is all against all.
+    """
+    r = records.select("id", normalise_doi(F.col("doi")).alias("doi"), normalise_title(F.col("title")).alias("t"), "year", normalise_title(F.coalesce("venue", F.lit(""))).alias("v"), "author", works.is_secondary(F.col("kind"), F.col("doi"), F.col("venue"), F.col("source_type")).alias("secondary"), works.is_weak(F.col("doi"), F.col("venue")).alias("weak"))
+    r = materialise(r.withColumn("long", F.length("t") >= least_title), "works")
+
+    def same(n: int, key: Column) -> DataFrame:
+        keyed = r.select("id", key.alias("key")).where("key is not null and key <> ''")
+        first = keyed.groupBy("key").agg(F.min("id").alias("a"))
+        return keyed.join(first, "key").where("id <> a").select("a", F.col("id").alias("b"), F.lit(n).alias("pass"))
+
+    other = r.select(*(F.col(c).alias(f"o_{c}") for c in r.columns))
+    gap = F.abs(F.col("year") - F.col("o_year"))
+    known = F.col("year").isNotNull() & F.col("o_year").isNotNull()
+    kin, agree = works.same_first_author(F.col("author"), F.col("o_author")), works.authors_agree(F.col("author"), F.col("o_author"))
+    titled = r.where("long").join(other.where("o_long"), F.col("t") == F.col("o_t")).where("id <> o_id")
+    pair = lambda df, n: df.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"), F.lit(n).alias("pass")).distinct()
+    fourth = pair(titled.where(F.col("secondary") & ~F.col("o_secondary") & known & (((gap <= near_years) & kin) | ((gap <= far_years) & agree))), 3)
+    sixth = pair(titled.where((F.col("v") == F.col("o_v")) & (F.col("v") != "") & known & (gap <= 1) & kin & (F.col("id") < F.col("o_id"))), 5)
+    names = r.where("long").select(F.col("id").alias("doc_id"), F.col("t").alias("text"))
+    weak = r.where("long and weak").select(F.col("id").alias("item_id"), F.col("t").alias("text"))
+    held = passages.containing(names, weak).select(F.col("item_id").alias("x"), F.col("doc_id").alias("y"))
+    holds = passages.containing(weak.toDF("doc_id", "text"), names.toDF("item_id", "text")).select(F.col("doc_id").alias("x"), F.col("item_id").alias("y"))
+    both = held.unionByName(holds).where("x <> y").distinct().join(r, F.col("x") == F.col("id")).join(other, F.col("y") == F.col("o_id"))
+    near = F.least(F.length("t"), F.length("o_t")) >= containment * F.greatest(F.length("t"), F.length("o_t"))
+    fifth = pair(both.where(near & known & (gap <= near_years) & kin), 4)
+    out = same(0, F.col("doi")).unionByName(same(1, F.when(F.col("long") & F.col("year").isNotNull(), F.concat_ws("|", "t", F.col("year").cast("string")))))
+    return out.unionByName(fourth).unionByName(fifth).unionByName(sixth)
+
+
+#: Why a record was merged, by pass.
+REASONS = ("same_doi", "same_title_year", "secondary_of_title", "weak_record_title_variant", "same_title_venue")
+
+
+def dedupe_works(records: DataFrame) -> DataFrame:
+    """``records`` (also cited) with survivor, the best record of what hangs together (no preprint, no repository copy, with DOI, with venue, most cited, earliest, smallest id), and the reason of a merged one: its first pass."""
+    edges = materialise(work_edges(records), "edges_of_works")
+    roots = connected_components(edges.select("a", "b"))
+    named = records.join(roots, records["id"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "id")).drop("node", "root")
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    rank = F.struct(flag(works.is_preprint(F.col("kind"), F.col("doi"))), flag(F.coalesce(F.col("source_type") == "repository", F.lit(False))), flag(normalise_doi(F.col("doi")).isNull()), flag(F.coalesce("venue", F.lit("")) == ""), -F.coalesce("cited", F.lit(0)), F.coalesce("year", F.lit(9999)), "id")
+    best = named.groupBy("_root").agg(F.min_by("id", rank).alias("survivor"))
+    ends = edges.select(F.col("a").alias("id"), "pass").unionByName(edges.select(F.col("b").alias("id"), "pass")).groupBy("id").agg(F.min("pass").alias("_p"))
+    place = F.when(F.col("_p") < 2, F.col("_p")).otherwise(F.col("_p") - 1)
+    out = named.join(best, "_root").join(ends, "id", "left").withColumn("reason", F.when(F.col("survivor") != F.col("id"), F.get(F.array(*(F.lit(x) for x in REASONS)), place.cast("int"))))
+    return out.drop("_root", "_p")

@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from pelagos.plans import api, bibliography, encoding, evidence, grids, jobs, leads, matching, models, space, statistics, summaries, time, tracks, works  # noqa: E402, F401
+from pelagos.plans import api, bibliography, encoding, evidence, grids, jobs, leads, matching, models, parsing, space, statistics, summaries, time, tracks, works  # noqa: E402, F401
