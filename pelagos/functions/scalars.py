@@ -150,3 +150,25 @@ def covariates(scr_vv: Column, scr_vh: Column, n_pixels: Column, length_m: Colum
 def presence(value: Column) -> Column:
     """Whether there is any; unknown stays unknown."""
     return F.when(value.isNotNull(), value > 0)
+
+
+def clean_number(x: Column) -> Column:
+    """NaN and the infinities as null."""
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def clean_text(x: Column) -> Column:
+    """Trimmed text; empty text and the words for nothing as null."""
+    bare = F.trim(x)
+    return F.when(~F.lower(bare).isin("", "none", "nan", "nat", "null", "<na>"), bare)
+
+
+def clean_bool(x: Column) -> Column:
+    """A truth value from text or numbers; null if it is neither."""
+    low = F.lower(F.trim(x.cast("string")))
+    return F.when(low.isin("true", "1", "1.0", "yes"), True).when(low.isin("false", "0", "0.0", "no"), False)
+
+
+def json_list(x: Column) -> Column:
+    """A list of texts from JSON; empty if it is not one."""
+    return F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>"))

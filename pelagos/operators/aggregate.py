@@ -125,3 +125,16 @@ def conformal_band(df: DataFrame, by: list[str], residual: str, tiebreak: str, l
     x = df.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
     lo, hi = F.greatest(F.lit(1), F.floor((F.col("_n") + 1) * a)), F.least(F.col("_n"), F.ceil((F.col("_n") + 1) * (1 - a)))
     return x.groupBy(*by).agg(F.max(F.when(F.col("_i") == lo, F.col(residual))).alias("low"), F.max(F.when(F.col("_i") == hi, F.col(residual))).alias("high"), F.count("*").alias("n"))
+
+
+def recall_by_bin(found: DataFrame, missed: DataFrame, bin_: Column) -> DataFrame:
+    """(bin, found, missed, recall) over the bins of either table."""
+    a, b = (df.groupBy(bin_.alias("bin")).agg(F.count("*").alias(n)) for df, n in ((found, "found"), (missed, "missed")))
+    out = a.join(b, "bin", "full").na.fill(0, ["found", "missed"]).where("bin is not null")
+    return out.withColumn("recall", F.col("found") / (F.col("found") + F.col("missed")))
+
+
+def within_budget(df: DataFrame, by: list[str], order: list[Column], size: str, budget: int) -> DataFrame:
+    """Rows in order while their running size stays within the budget of their group; what comes after the first that does not fit is dropped."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_total", F.sum(size).over(w)).where(F.col("_total") <= budget).drop("_total")

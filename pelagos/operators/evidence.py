@@ -249,3 +249,19 @@ def gap_sides(contacts: DataFrame, gaps: DataFrame, max_km: float, max_h: float)
     for x in (*counts, *([between] if between is not None else [])):
         out = out.join(x, "event_key", "left")
     return out.na.fill(0)
+
+
+def merge_identity(own: DataFrame, registry: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """All keys of either table: each field from the report, else from the registry, and where it came from."""
+    r = registry.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in fields))
+    x = own.join(r, own[key] == r["_key"], "full").withColumn(key, F.coalesce(key, "_key"))
+    source = F.when(F.col("_key").isNull(), "report").when(F.coalesce(*(F.col(c).cast("string") for c in fields)).isNull(), "registry").otherwise("both")
+    return x.select(key, source.alias("source"), *(F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) for c in fields))
+
+
+def identity_differences(rows: DataFrame, table: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``rows`` with found, and differs: the names of the fields in which the table's row says otherwise, sorted; a field that either lacks does not differ."""
+    t = table.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in fields))
+    x = rows.join(t, rows[key] == t["_key"], "left")
+    odd = F.array_compact(F.array(*(F.when(F.col(c) != F.col(f"_{c}"), F.lit(c)) for c in sorted(fields))))
+    return x.withColumns({"found": F.col("_key").isNotNull(), "differs": odd}).drop("_key", *(f"_{c}" for c in fields))

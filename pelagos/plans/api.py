@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pelagos.functions import geo
-from pelagos.operators import aggregate, filters, paging, service
+from pelagos.functions import scalars
+from pelagos.operators import aggregate, evidence, filters, paging, service
 from pelagos.plans.registry import query
 from pelagos.sources import views as v
 from pelagos.streaming import live
@@ -163,3 +163,59 @@ def scenes_to_rematch(spark, sf):
     done = s.select("scene_id", F.timestamp_micros(F.unix_micros("at") + 7_200_000_000).alias("processed"))
     r = v.reports(spark, sf).select("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") % 5 * 3_600_000_000).alias("received"))
     return live.rematch(s, done, r)
+
+
+_REG = "SELECT o_custkey AS id, max(o_orderpriority) AS name, max(o_orderstatus) AS flag FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1"
+_OWN = "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name, CASE WHEN c_custkey % 5 <> 0 THEN 'F' END AS flag FROM customer WHERE c_custkey % 4 <> 1"
+
+
+def _identities(spark, sf):
+    k = F.col("c_custkey")
+    own = v.table(spark, sf, "customer").where(k % 4 != 1).select(k.alias("id"), F.when(k % 2 == 0, F.col("c_name")).alias("name"), F.when(k % 5 != 0, F.lit("F")).alias("flag"))
+    reg = v.table(spark, sf, "orders").where("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderpriority").alias("name"), F.max("o_orderstatus").alias("flag"))
+    return own, reg
+
+
+@query(f"SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'report' WHEN a.name IS NULL AND a.flag IS NULL THEN 'registry' ELSE 'both' END AS source, coalesce(a.name, b.name) AS name, coalesce(a.flag, b.flag) AS flag FROM ({_OWN}) a FULL JOIN ({_REG}) b ON a.id = b.id")
+def merged_identity(spark, sf):
+    """Identities of reports and registry, field by field."""
+    own, reg = _identities(spark, sf)
+    return evidence.merge_identity(own, reg, "id", ["name", "flag"])
+
+
+@query(f"SELECT a.id, b.id IS NOT NULL AS found, array_to_string(list_filter([CASE WHEN a.flag <> b.flag THEN 'flag' END, CASE WHEN a.name <> b.name THEN 'name' END], lambda x: x IS NOT NULL), ';') AS differs FROM ({_OWN}) a LEFT JOIN ({_REG}) b ON a.id = b.id")
+def identity_differences(spark, sf):
+    own, reg = _identities(spark, sf)
+    return evidence.identity_differences(own, reg, "id", ["name", "flag"]).select("id", "found", F.array_join("differs", ";").alias("differs"))
+
+
+@query("SELECT p_partkey AS id, p_name AS name, count(l.l_orderkey) AS labels FROM part p LEFT JOIN lineitem l ON l.l_partkey = p.p_partkey AND l.l_quantity > 40 GROUP BY 1, 2")
+def windows_with_labels(spark, sf):
+    """Image windows with their number of labels, none included."""
+    p, x = v.table(spark, sf, "part"), v.table(spark, sf, "lineitem").where("l_quantity > 40")
+    return p.join(x, p["p_partkey"] == x["l_partkey"], "left").groupBy(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).agg(F.count("l_orderkey").alias("labels"))
+
+
+@query(f"""WITH o AS (SELECT *, {scalars.sql_bin('length_m', [0, 15, 25, 50, 100, 200, 500])} AS bin FROM ({v.SQL_OBJECTS})) SELECT bin, count(*) FILTER (WHERE ais_status = 'matched') AS found, count(*) FILTER (WHERE ais_status = 'no_coverage') AS missed, round(count(*) FILTER (WHERE ais_status = 'matched')::DOUBLE / count(*) FILTER (WHERE ais_status IN ('matched', 'no_coverage')), 6) AS recall FROM o WHERE ais_status IN ('matched', 'no_coverage') AND bin IS NOT NULL GROUP BY bin""")
+def recall_by_length(spark, sf):
+    """Found and missed vessels per length bin."""
+    o = v.objects(spark, sf)
+    out = aggregate.recall_by_bin(o.where("ais_status = 'matched'"), o.where("ais_status = 'no_coverage'"), scalars.length_bin(F.col("length_m"), [0, 15, 25, 50, 100, 200, 500]))
+    return out.withColumn("recall", F.round("recall", 6))
+
+
+@query(f"""WITH o AS (SELECT det_id, pass_id, sum(length(det_id) * 10) OVER (PARTITION BY pass_id ORDER BY cnn_score DESC, det_id ROWS UNBOUNDED PRECEDING) AS total FROM ({v.SQL_OBJECTS})) SELECT det_id, pass_id FROM o WHERE total <= 3000""")
+def page_budget(spark, sf):
+    """Contacts of a page in order of score while they fit its bytes."""
+    o = v.objects(spark, sf).withColumn("bytes", F.length("det_id") * 10)
+    return aggregate.within_budget(o, ["pass_id"], [F.desc("cnn_score"), F.asc("det_id")], "bytes", 3000).select("det_id", "pass_id")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS number, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE 'x' END AS text, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS items FROM events""")
+def cleaned_values(spark, sf):
+    k = F.col("event_id")
+    x = F.when(k % 8 == 0, F.lit(float("nan"))).when(k % 4 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    text = F.when(k % 5 == 0, " NaN ").when(k % 5 == 1, "").otherwise(" x")
+    flag = F.when(k % 3 == 0, "Yes").when(k % 3 == 1, "0.0").otherwise("maybe")
+    items = scalars.json_list(F.when(k % 2 == 0, '["a", "b"]').otherwise("not json"))
+    return v.table(spark, sf, "events").select("event_id", scalars.clean_number(x).alias("number"), scalars.clean_text(text).alias("text"), scalars.clean_bool(flag).alias("flag"), F.size(items).alias("items"))

@@ -118,3 +118,48 @@ def write_parts(df: DataFrame, path: str, rows: int) -> None:
 def append_log(df: DataFrame, path: str) -> None:
     """Append to a JSON-lines log."""
     df.write.mode("append").json(path)
+
+
+def merge_partition(df: DataFrame, path: str, keys: list[str], order: list[str], partitions: list[str]) -> None:
+    """Merge rows into a partitioned table: of equal keys the last in order stays, and only the partitions that ``df`` touches are replaced, each as a whole."""
+    spark = df.sparkSession
+    touched = df.select(*partitions).distinct()
+    try:
+        old = spark.read.schema(df.schema).option("basePath", path).parquet(path).join(touched, partitions, "left_semi")
+        both = old.select(*df.columns).unionByName(df)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        both = df
+    merged = both.groupBy(*keys, *(p for p in partitions if p not in keys)).agg(F.max_by(F.struct(*(c for c in df.columns if c not in keys and c not in partitions)), F.struct(*order)).alias("_r"))
+    rest = [c for c in df.columns if c not in keys and c not in partitions]
+    out = merged.select(*keys, *(p for p in partitions if p not in keys), *(F.col(f"_r.{c}") for c in rest)).select(*df.columns)
+    from pelagos.storage import discard, materialise
+
+    staged = materialise(out, "merged")  # the table is read and replaced, so what replaces it is written first
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    discard(staged)
+
+
+def load_static(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All static messages, each content once, with its latest time."""
+    df = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
+    return df.groupBy(*(c for c in df.columns if c != "seen")).agg(F.max("seen").alias("seen"))
+
+
+def export_table(df: DataFrame, path: str, kind: str, notes: dict[str, str]) -> None:
+    """Records with the caveat and licence as constant columns, as CSV, JSON lines or an HTML page of at most 10,000 rows (more are an error)."""
+    out = df.withColumns({k: F.lit(x) for k, x in notes.items()})
+    if kind == "csv":
+        out.write.mode("overwrite").csv(path, header=True)
+    elif kind == "jsonl":
+        out.write.mode("overwrite").json(path)
+    elif kind == "html":
+        if out.limit(10_001).count() > 10_000:
+            raise ValueError("too many rows for a page")
+        safe = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "&", "&amp;"), "<", "&lt;")
+        rows = out.select(F.concat(F.lit("<tr>"), *(x for c in out.columns for x in (F.lit("<td>"), safe(c), F.lit("</td>"))), F.lit("</tr>")).alias("value"))
+        head = df.sparkSession.createDataFrame([("<table><tr>" + "".join(f"<th>{c}</th>" for c in out.columns) + "</tr>",)], "value string")
+        head.unionByName(rows).coalesce(1).write.mode("overwrite").text(path)
+    else:
+        raise ValueError(f"unknown kind {kind}")

@@ -90,3 +90,22 @@ def test_cycle_keeps_status_and_tries_again(spark, tmp_path):
     assert cycle.run(scenes, reports) == {"a": live.DONE, "b": live.FAILED, "c": live.SKIPPED}
     assert cycle.run(scenes, reports) == {"b": live.DONE, "c": live.SKIPPED}
     assert seen == ["a", "b", "b"] and cycle.due(scenes).collect()[0].scene_id == "c"
+
+
+def test_partitions_are_merged_and_replaced_whole(spark, tmp_path):
+    path, shape = str(tmp_path / "t"), "k long, seen long, x string, day string"
+    c.merge_partition(spark.createDataFrame([(1, 1, "a", "d1"), (2, 1, "b", "d1"), (3, 1, "c", "d2")], shape), path, ["k"], ["seen"], ["day"])
+    c.merge_partition(spark.createDataFrame([(1, 5, "new", "d1"), (2, 0, "older", "d1"), (9, 1, "z", "d1")], shape), path, ["k"], ["seen"], ["day"])
+    got = sorted((r.k, r.x, r.day) for r in spark.read.parquet(path).collect())
+    assert got == [(1, "new", "d1"), (2, "b", "d1"), (3, "c", "d2"), (9, "z", "d1")]
+
+
+def test_static_content_and_exports(spark, tmp_path):
+    df = spark.createDataFrame([(1, "A", 5), (1, "A", 9), (2, "B", 1)], "mmsi long, name string, seen long")
+    df.write.parquet(str(tmp_path / "s"))
+    assert sorted(tuple(r) for r in c.load_static(spark, str(tmp_path / "s"), "mmsi long, name string, seen long").select("mmsi", "seen").collect()) == [(1, 9), (2, 1)]
+    for kind in ("csv", "jsonl", "html"):
+        c.export_table(df, str(tmp_path / kind), kind, {"caveat": "a <lead>"})
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).where("caveat = 'a <lead>'").count() == 3
+    page = "\n".join(r.value for r in spark.read.text(str(tmp_path / "html")).collect())
+    assert page.count("<tr>") == 4 and "a &lt;lead>" in page
