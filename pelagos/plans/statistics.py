@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pelagos.functions import geo, scalars
-from pelagos.operators import aggregate, filters
+from pelagos.operators import aggregate
 from pelagos.plans.registry import query
 from pelagos.sources import views as v
 
