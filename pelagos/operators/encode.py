@@ -58,10 +58,13 @@ def light_id(satellite: Column, ts: Column, index: Column, width: int = 6) -> Co
     return F.concat(F.lit("VNL_"), code, F.lit("_"), F.date_format(ts, "yyyyMMdd'T'HHmmss"), F.lit("_"), F.lpad(index.cast("string"), width, "0"))
 
 
-def light_index(ident: Column, satellite: Column, ts: Column, width: int = 6) -> Column:
-    """The index if the id is what its satellite and time give, else null (the column is then kept as text)."""
-    tail = F.regexp_extract(ident, rf"_(\d{{{width}}})$", 1).try_cast("long")
-    return F.when(light_id(satellite, ts, tail, width) == ident, tail)
+def light_index(ident: Column, satellite: Column, ts: Column, width: int = 6, index: Column | None = None) -> Column:
+    """The index if the id is what its satellite and time give, else null (the column is then kept as text).
+
+    An id holds no more than ``width`` digits, so a longer ``index`` cannot be read back from it; where the rows have the index, it is given and only checked.
+    """
+    known = index if index is not None else F.regexp_extract(ident, rf"_(\d{{{width}}})$", 1).try_cast("long")
+    return F.when(light_id(satellite, ts, known, width) == ident, known)
 
 
 def row_references(rows: DataFrame, key: str, to: DataFrame, to_key: str, order: str) -> DataFrame:
