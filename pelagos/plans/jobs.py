@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pelagos.functions import geo, scalars, works
-from pelagos.operators import aggregate, evidence, proximity, temporal, tracks
+from pelagos.operators import aggregate, around, evidence, proximity, temporal, tracks
 from pelagos.plans.registry import query
 from pelagos.sources import views as v
 
@@ -27,7 +27,7 @@ def identity_job(spark, sf):
     own = cell(clear).groupBy("_cx", "_cy", F.col("night").alias("day")).agg(F.min("light_id").alias("vessel"))
     heard = proximity.block_counts(o, clear, "det_id", "light_id", 0.01).select("det_id", F.col("n").alias("heard"))
     out = cell(o).join(own, ["_cx", "_cy", "day"], "left").join(heard, "det_id", "left")
-    out = evidence.near_in_span(out, v.behaviour(spark, sf), "det_id", "acq", "event_key", "start", "stop", 2.0, 3.0, "ids")
+    out = evidence.near_in_span(out, v.behaviour(spark, sf), "acq", "event_key", "start", "stop", 2.0, 3.0, "ids")
     status = F.when(F.col("vessel").isNotNull(), "matched").when(F.col("heard") > 0, "unmatched").otherwise("no_coverage")
     return out.select("det_id", status.alias("ais_status"), "vessel", F.size("ids").cast("long").alias("n_events"))
 
@@ -171,9 +171,8 @@ def object_context(spark, sf):
 def review_neighbours(spark, sf):
     """The three nearest vessels of each reviewed contact within a quarter of an hour."""
     o = v.objects(spark, sf).where("k % 25 = 0").select("det_id", "lon", "lat", "acq")
-    near = proximity.space_time(o, v.reports(spark, sf).select("event_id", "mmsi", "ts", "lon", "lat"), 10_000, 900, "acq", "ts")
-    one = near.groupBy("det_id", F.col("r_mmsi").alias("mmsi")).agg(F.min("dist_m").alias("dist_m"))
-    return aggregate.top_n(one, ["det_id"], [F.asc("dist_m"), F.asc("mmsi")], 3).select("det_id", "mmsi", F.round("dist_m", 2).alias("dist_m"), "rank")
+    near = around.nearest_few(o, v.reports(spark, sf), "mmsi", "acq", "ts", 10_000, 900, 3)
+    return near.select("det_id", F.posexplode("near").alias("rank", "near")).select("det_id", F.col("near.id").alias("mmsi"), F.round("near.dist_m", 2).alias("dist_m"), (F.col("rank") + 1).alias("rank"))
 
 
 @query(f"""SELECT det_id FROM ({v.SQL_OBJECTS}) WHERE ('0x' || substr(sha256('label:' || det_id), 1, 8))::BIGINT < CASE confidence WHEN 'high' THEN 0.5 WHEN 'medium' THEN 0.2 ELSE 0.05 END * 4294967296""")
