@@ -152,6 +152,17 @@ def cell_evidence(most: int = CELL_LIGHTS) -> Column:
     return F.concat(F.array(row("cell", F.col("cell_id"), "primary")), F.transform(F.slice("light_ids", 1, most), lambda x: row("light", x, "light")))
 
 
+def n_contact_evidence(most_persist: int = 5) -> Column:
+    """The number of rows of ``contact_evidence``, from n_lights, n_events and n_persist in place of the ids."""
+    there = lambda c: F.when(F.coalesce(F.col(c).cast("string") != "", F.lit(False)), 1).otherwise(0)
+    return (F.lit(1) + there("pass_id") + there("nearest_key") + F.col("n_lights") + F.col("n_events") + F.least("n_persist", F.lit(most_persist)) + F.when(F.col("weather_row"), 1).otherwise(0) + there("cell_id")).cast("long")
+
+
+def n_cell_evidence(most: int = CELL_LIGHTS) -> Column:
+    """The number of rows of ``cell_evidence``."""
+    return (F.lit(1) + F.least(F.size("light_ids"), F.lit(most))).cast("long")
+
+
 def nearest_key(vessel_id: Column, mmsi: Column) -> Column:
     """Key of the nearest vessel: a registry id if there is one, else the number."""
     return F.when(vessel_id.isNotNull() & (vessel_id != ""), F.concat(F.lit("gfw:"), vessel_id)).when(mmsi.isNotNull(), F.concat(F.lit("mmsi:"), mmsi.cast("string")))
