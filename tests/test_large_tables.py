@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pelagos.operators import around
+from pelagos.operators import around, evidence
 from pelagos.plans import leads, registry
 
 
@@ -66,3 +66,15 @@ def test_around_equals_all_pairs(spark):
     n = {r.k: r.n for r in around.count_different(a, b, "id", 3000, "n").collect()}
     assert n == {p[0]: len({q[0] for _, q in near[p[0]] if q[0]}) for p in here}
     assert n == {r.k: r.n for r in around.in_span(a.withColumn("t", F.lit("2023-11-15").cast("timestamp")), b.na.drop(subset=["id"]).withColumn("t", F.lit("2023-11-15").cast("timestamp")), "t", "id", "t", "t", 3000, 0, "n", count=True).collect()}
+
+
+def test_channels_of_one_place(spark):
+    """Four thousand objects in two places of a scene: sixteen million pairs at the places, none of them made."""
+    vv = spark.range(4000).select(F.lit(1).alias("scene"), "id", (F.col("id") % 2 * 50.0).alias("row"), F.lit(3.0).alias("col"), F.col("id").cast("double").alias("length_m"))
+    vh = vv.withColumn("id", F.col("id") + 10_000).withColumn("row", F.col("row") + 1)
+    out = evidence.fuse_channels(vv, vh, "scene")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 3
+    got = {r.pol_class: r["count"] for r in out.groupBy("pol_class").count().collect()}
+    assert got == {"VV+VH": 2, "VV only": 3998, "VH only": 3998}
+    assert {(r.id, r.h_id, r.length_m) for r in out.where("pol_class = 'VV+VH'").collect()} == {(0, 10_000, 0.0), (1, 10_001, 1.0)}
