@@ -42,31 +42,43 @@ def work_edges(records: DataFrame, least_title: int = 25, near_years: int = 1, f
     year (within three if the first authors agree), a weak record whose title holds, or is held in, another's, same title and venue within a year.
 
     Records: id (a number), doi, title, year, kind, venue, source_type, author. Within a key of the first passes members are linked to the smallest id; the
-    conditional passes compare members of a title only, and weak titles meet others through a rare inner word, so no pass is all against all.
+    conditional passes compare kinds of records (equal in all that a pass looks at) of a title, whose members are linked to the kind's smallest id, and different
+    weak titles meet others through a rare inner word, so no pass is all against all.
     """
     r = records.select("id", normalise_doi(F.col("doi")).alias("doi"), normalise_title(F.col("title")).alias("t"), "year", normalise_title(F.coalesce("venue", F.lit(""))).alias("v"), "author", works.is_secondary(F.col("kind"), F.col("doi"), F.col("venue"), F.col("source_type")).alias("secondary"), works.is_weak(F.col("doi"), F.col("venue")).alias("weak"))
-    r = materialise(r.withColumn("long", F.length("t") >= least_title), "works")
+    kind = F.md5(F.to_json(F.struct("t", "year", "v", "author", "secondary", "weak")))
+    r = materialise(r.withColumn("long", F.length("t") >= least_title).withColumn("kind", kind), "works")
+    # All that the conditional passes look at: records of a kind are linked to the same others, and to each other if their kind meets itself.
+    kinds = materialise(r.where("long").groupBy("kind", "t", "year", "v", "author", "secondary", "weak").agg(F.min("id").alias("id"), F.count("*").alias("n")), "kinds")
+    members = r.where("long").select("kind", F.col("id").alias("member")).join(kinds.select("kind", "id"), "kind").where("member <> id").select("id", "member")
 
     def same(n: int, key: Column) -> DataFrame:
         keyed = r.select("id", key.alias("key")).where("key is not null and key <> ''")
         first = keyed.groupBy("key").agg(F.min("id").alias("a"))
         return keyed.join(first, "key").where("id <> a").select("a", F.col("id").alias("b"), F.lit(n).alias("pass"))
 
-    other = r.select(*(F.col(c).alias(f"o_{c}") for c in r.columns))
+    other = kinds.select(*(F.col(c).alias(f"o_{c}") for c in kinds.columns))
     gap = F.abs(F.col("year") - F.col("o_year"))
     known = F.col("year").isNotNull() & F.col("o_year").isNotNull()
     kin, agree = works.same_first_author(F.col("author"), F.col("o_author")), works.authors_agree(F.col("author"), F.col("o_author"))
-    titled = r.where("long").join(other.where("o_long"), F.col("t") == F.col("o_t")).where("id <> o_id")
-    pair = lambda df, n: df.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"), F.lit(n).alias("pass")).distinct()
-    fourth = pair(titled.where(F.col("secondary") & ~F.col("o_secondary") & known & (((gap <= near_years) & kin) | ((gap <= far_years) & agree))), 3)
-    sixth = pair(titled.where((F.col("v") == F.col("o_v")) & (F.col("v") != "") & known & (gap <= 1) & kin & (F.col("id") < F.col("o_id"))), 5)
-    names = r.where("long").select(F.col("id").alias("doc_id"), F.col("t").alias("text"))
-    weak = r.where("long and weak").select(F.col("id").alias("item_id"), F.col("t").alias("text"))
+    several = (F.col("id") != F.col("o_id")) | (F.col("n") > 1)
+    titled = kinds.join(other, F.col("t") == F.col("o_t")).where(several)
+
+    def linked(df: DataFrame, n: int) -> DataFrame:
+        found = df.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+        ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        every = found.where("a <> b").unionByName(members.join(ends, "id").select(F.col("id").alias("a"), F.col("member").alias("b")))
+        return every.withColumn("pass", F.lit(n))
+
+    fourth = linked(titled.where(F.col("secondary") & ~F.col("o_secondary") & known & (((gap <= near_years) & kin) | ((gap <= far_years) & agree))), 3)
+    sixth = linked(titled.where((F.col("v") == F.col("o_v")) & (F.col("v") != "") & known & (gap <= 1) & kin & (F.col("id") <= F.col("o_id"))), 5)
+    names = kinds.select(F.col("t").alias("doc_id"), F.col("t").alias("text")).distinct()
+    weak = kinds.where("weak").select(F.col("t").alias("item_id"), F.col("t").alias("text")).distinct()
     held = passages.containing(names, weak).select(F.col("item_id").alias("x"), F.col("doc_id").alias("y"))
     holds = passages.containing(weak.toDF("doc_id", "text"), names.toDF("item_id", "text")).select(F.col("doc_id").alias("x"), F.col("item_id").alias("y"))
-    both = held.unionByName(holds).where("x <> y").distinct().join(r, F.col("x") == F.col("id")).join(other, F.col("y") == F.col("o_id"))
-    near = F.least(F.length("t"), F.length("o_t")) >= containment * F.greatest(F.length("t"), F.length("o_t"))
-    fifth = pair(both.where(near & known & (gap <= near_years) & kin), 4)
+    fits = F.least(F.length("x"), F.length("y")) >= containment * F.greatest(F.length("x"), F.length("y"))
+    both = held.unionByName(holds).distinct().where(fits).join(kinds.where("weak"), F.col("x") == F.col("t")).join(other, F.col("y") == F.col("o_t")).where(several)
+    fifth = linked(both.where(known & (gap <= near_years) & kin), 4)
     out = same(0, F.col("doi")).unionByName(same(1, F.when(F.col("long") & F.col("year").isNotNull(), F.concat_ws("|", "t", F.col("year").cast("string")))))
     return out.unionByName(fourth).unionByName(fifth).unionByName(sixth)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pelagos.operators import around, assign, evidence
+from pelagos.operators import around, assign, dedupe, evidence
 from pelagos.plans import leads, registry
 
 
@@ -99,3 +99,12 @@ def test_a_component_wider_than_a_table(monkeypatch, spark):
                     nxt[state] = min(nxt.get(state, 1e9), c + (12.0 if k is None else cost[a, a + k]))
         best = nxt
     assert sum(r.cost for r in got) + 12.0 * (300 - len(got)) == pytest.approx(min(best.values()))
+
+
+def test_works_of_one_title_are_compared_by_kind(spark):
+    """Repeated records give links in proportion to their number, with every record's reason."""
+    n = 600
+    one = spark.range(n).select("id", F.lit(None).cast("string").alias("doi"), F.lit("A long enough title of a work on the sea").alias("title"), (F.lit(2015) + F.col("id") % 2).alias("year"), F.when(F.col("id") % 3 == 0, "preprint").otherwise("article").alias("kind"), F.lit("Sea").alias("venue"), F.lit(None).cast("string").alias("source_type"), F.lit("Nguyen An").alias("author"), F.lit(1).alias("cited"))
+    assert dedupe.work_edges(one).count() < 6 * n
+    got = dedupe.dedupe_works(one).collect()
+    assert {r.survivor for r in got} == {2} and all(r.reason == "same_title_year" for r in got if r.id != 2)
