@@ -28,7 +28,7 @@ def test_light_ids_of_more_digits_than_the_id_holds(spark, same, tmp_path):
     same(got, want)
 
 
-@pytest.mark.parametrize("name", ["lights_near", "events_near", "nearest_presence", "review_neighbours", "band_join_space_time", "agreement_by_box", "persistence_pairs", "sky_at_lights", "within_radius_distinct"])
+@pytest.mark.parametrize("name", ["bracket_interpolate", "lights_near", "events_near", "nearest_presence", "review_neighbours", "band_join_space_time", "agreement_by_box", "persistence_pairs", "sky_at_lights", "within_radius_distinct"])
 def test_no_table_of_pairs(spark, sf, name):
     """Pairs, whose number grows with the square of a place's rows, are neither joined nor shuffled, and nothing is broadcast."""
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
