@@ -9,7 +9,8 @@ quantised values and looks up what each batch has asked for. The batch puts its
 
 Contexts are dealt out by a hash. A word with many tokens is split into parts by its successor, each a small
 smoothed model with its own total, and the batch mixes the parts by their totals, so no shard gathers all successors of a frequent word.
-Successors of a pair are kept where both its words have ``min_share`` of the training tokens. No task holds more than a batch or a
+Every pair of the training documents is a context, whatever the size of the corpus. Words are numbered by falling frequency, within a shard
+as within a batch, so that most numbers are small and take few bytes. No task holds more than a batch or a
 shard, both of bounded size; a batch sends no row where it has nothing to ask, so the rows never outnumber the contexts of the batches.
 Only four numbers go to the driver: all tokens, training tokens, their different words, and the most words of a shard.
 
@@ -42,8 +43,6 @@ BATCH_BYTES, SHARD_TOKENS = 6 << 20, 800_000
 SEED = 7
 #: Absolute discounts of counts 1, 2 and 3 or more, for either order.
 DISCOUNTS = (0.7, 1.1, 1.4)
-#: Share of the training tokens that both words of a pair need for the pair to be a context.
-MIN_SHARE = 1e-5
 #: Steps a decade of the quantised values, two bytes each: the error stays below 0.12 %, the range is 63 decades.
 STEPS, NOTHING = 1024, 0xFFFF
 END = xxhash.xxh64_intdigest(b"\0end", SEED)
@@ -95,7 +94,7 @@ def _ranges(sizes: np.ndarray) -> np.ndarray:
 
 
 def _batches(batch_bytes: int):
-    """Batches of consecutive documents (doc_id, held_out, text): tokens as places among the batch's words, these as sorted hashes."""
+    """Batches of consecutive documents (doc_id, held_out, text): tokens by the rank of their word in the batch, with each rank's place among the words, these as sorted hashes."""
 
     def pack(ids: list[pa.Array], held: list[np.ndarray], docs: list[array.array], known: dict[bytes, int], number: int) -> pa.RecordBatch:
         sizes = np.array([len(d) + 1 for d in docs], np.int64)
@@ -108,9 +107,12 @@ def _batches(batch_bytes: int):
         words, place = np.unique(hashes, return_inverse=True)
         token, out = place[token], np.concatenate(held)
         counts = np.bincount(token[np.repeat(~out, sizes)], minlength=len(words))
+        ranked = np.argsort(-np.bincount(token, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[ranked] = np.arange(len(words))
         batch = TaskContext.get().partitionId() << 32 | number
-        cols = [pa.array([batch]), pa.ListArray.from_arrays([0, len(docs)], pa.concat_arrays(ids)), *(pa.array([x], pa.binary()) for x in (squeeze(out), squeeze(sizes), squeeze(token), _steps(words), squeeze(counts))), pa.array([len(token)])]
-        return pa.RecordBatch.from_arrays(cols, names=["batch", "ids", "held", "sizes", "tokens", "words", "counts", "n"])
+        cols = [pa.array([batch]), pa.ListArray.from_arrays([0, len(docs)], pa.concat_arrays(ids)), *(pa.array([x], pa.binary()) for x in (squeeze(out), squeeze(sizes), squeeze(rank[token]), squeeze(ranked), _steps(words), squeeze(counts))), pa.array([len(token)])]
+        return pa.RecordBatch.from_arrays(cols, names=["batch", "ids", "held", "sizes", "tokens", "ranked", "words", "counts", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size = 0, 0
@@ -148,7 +150,7 @@ def _word_rows(shards: int):
 
 
 def _number(shards: int):
-    """Numbers a hash range's words and adds up their counts; a row per batch, and one of batch -1 with the range's training tokens, words that have any, and words."""
+    """Numbers a hash range's words, the most frequent first, and adds up their counts; a row per batch, and one of batch -1 with the range's training tokens, words that have any, and words."""
 
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
@@ -156,10 +158,12 @@ def _number(shards: int):
         counts = np.concatenate([loosen(x) for x in group.column("counts").to_pylist()])
         every, place = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(every)).astype(np.int64)
+        number = np.empty(len(every), np.int64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(every)) * shards + shard
         cut = _ranges(np.array([len(w) for w in words]))
         rows = [(-1, shard, None, None, int(total.sum()), int((total > 0).sum()), len(every))]
         for batch, a, z in zip(group.column("batch").to_pylist(), cut[:-1], cut[1:], strict=True):
-            rows.append((batch, shard, _steps(place[a:z] * shards + shard), squeeze(total[place[a:z]]), None, None, None))
+            rows.append((batch, shard, squeeze(number[place[a:z]]), squeeze(total[place[a:z]]), None, None, None))
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 3]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["batch", "shard", "numbers", "totals", "n", "v", "words"])
 
@@ -230,9 +234,9 @@ class Asked:
 def _opened(rows: pa.Table, words: pa.Table, n: int, shards: int, min_context: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Asked, np.ndarray]:
     """(tokens, sizes, held, totals, what they ask, numbers) of a batch's row and its rows of numbered words."""
     get = lambda c: loosen(rows.column(c)[0].as_py())
-    tokens, sizes, held = get("tokens").astype(np.int64), get("sizes").astype(np.int64), get("held").astype(bool)
+    tokens, sizes, held = get("ranked").astype(np.int64)[get("tokens").astype(np.int64)], get("sizes").astype(np.int64), get("held").astype(bool)
     words = words.sort_by("shard")
-    numbers, totals = (np.concatenate([f(x) for x in words.column(c).to_pylist()]) for c, f in (("numbers", _climb), ("totals", loosen)))
+    numbers, totals = (np.concatenate([loosen(x) for x in words.column(c).to_pylist()]) for c in ("numbers", "totals"))
     return tokens, sizes, held, totals, Asked(tokens, sizes, numbers, totals, n, shards, min_context), numbers
 
 
@@ -345,11 +349,14 @@ def _score(n: int, v: int, shards: int, min_context: int):
     return run
 
 
-def score_documents(docs: DataFrame, batch_bytes: int = BATCH_BYTES, held: Column | None = None, shard_tokens: int = SHARD_TOKENS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; ``held`` tells which are not learned from."""
+def score_documents(docs: DataFrame, batch_bytes: int = BATCH_BYTES, held: Column | None = None, shard_tokens: int = SHARD_TOKENS, min_share: float = 0.0) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; ``held`` tells which are not learned from.
+
+    All pairs are contexts; a ``min_share`` above 0 makes a smaller model, of pairs whose words both have that share of the training tokens.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", (held if held is not None else held_out(F.col("doc_id"))).alias("held_out"), "text")
-    rows = materialise(own.mapInArrow(_batches(batch_bytes), f"batch long, ids array<{kind}>, held binary, sizes binary, tokens binary, words binary, counts binary, n long"), "batches")
+    rows = materialise(own.mapInArrow(_batches(batch_bytes), f"batch long, ids array<{kind}>, held binary, sizes binary, tokens binary, ranked binary, words binary, counts binary, n long"), "batches")
     shards = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // shard_tokens))
     asked = rows.select("batch", "words", "counts").mapInArrow(_word_rows(shards), "shard long, batch long, words binary, counts binary")
     words = materialise(asked.groupBy("shard").applyInArrow(_number(shards), "batch long, shard long, numbers binary, totals binary, n long, v long, words long"), "words")
@@ -358,7 +365,7 @@ def score_documents(docs: DataFrame, batch_bytes: int = BATCH_BYTES, held: Colum
     min_context = max(1, math.ceil(n * min_share))
     most = shards * (sums["words"] or 0)
     words = words.where("batch >= 0").select("batch", "shard", "numbers", "totals")
-    per_batch = rows.select("batch", "ids", "held", "sizes", "tokens").groupBy("batch")
+    per_batch = rows.select("batch", "ids", "held", "sizes", "tokens", "ranked").groupBy("batch")
     blobs = ", ".join(f"{c} binary" for c in _ASK)
     asks = per_batch.cogroup(words.groupBy("batch")).applyInArrow(_ask(n, shards, min_context), f"shard long, batch long, {blobs}")
     answers = asks.groupBy("shard").applyInArrow(_answer(most), "batch long, shard long, " + ", ".join(f"{c} binary" for c in _ANSWER))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pelagos.llm import lm
 from pelagos.llm.elias_fano import EliasFano, Trie
@@ -135,3 +136,14 @@ def test_no_training_documents(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = lm.score_documents(df, held=F.lit(True)).first()
     assert (r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0)
+
+
+def test_rare_pairs_are_contexts_in_a_larger_corpus(spark):
+    """More than 100,000 training tokens, where a share of 1e-5 would let no pair of two words that occur once be a context."""
+    docs = [(i, " ".join(f"w{(i * 37 + k * k) % 911}" for k in range(1000))) for i in range(150)] + [(1000, "rare pair follows"), (1001, "rare pair follows")]
+    held = {1001}
+    rows = lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), held=F.col("doc_id") == 1001).collect()
+    want = model(docs, held, 0.0)
+    assert want[1001][2] > 100_000 and model(docs, held, 1e-5)[1001][4] < want[1001][4] - 0.1
+    for r in rows:
+        assert r.score == pytest.approx(want[r.doc_id][4], rel=0.001, abs=0.001 * r.n_tokens)
