@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pelagos.operators import around, assign, dedupe, evidence, proximity
+from pelagos.operators import around, assign, dedupe, evidence, proximity, tracks
 from pelagos.plans import leads, registry
 
 
@@ -139,3 +139,23 @@ def test_the_rest_of_a_greedy_assignment_is_walked(monkeypatch, spark):
     monkeypatch.setattr(assign, "WALKED", 20)
     assert walked == {tuple(r) for r in assign.greedy(pairs).collect()}
     assert walked == {tuple(r) for r in assign.greedy(pairs, max_rounds=40).collect()}
+
+
+def test_places_of_vessels_are_worked_out_once_a_scene(monkeypatch, spark):
+    """Fifty contacts of a scene among twenty vessels: twenty places, not a thousand; the pairs are those of the walk."""
+    asked = []
+    own = tracks.track_position
+    monkeypatch.setattr(tracks, "track_position", lambda t, at, *rest: asked.append(at.count()) or own(t, at, *rest))
+    rng = np.random.default_rng(2)
+    t = datetime(2024, 1, 15, 6, 10, tzinfo=UTC)
+    c = [(f"K{i}", i, 105 + float(x) / 1000, 10 + float(y) / 1000, t) for i, (x, y) in enumerate(rng.integers(0, 40, (50, 2)))]
+    p = [(i, i, t, 105 + float(x) / 1000, 10 + float(y) / 1000) for i, (x, y) in enumerate(rng.integers(0, 40, (20, 2)))]
+    got = tracks.pair_presence(spark.createDataFrame(c, "det_id string, ia long, lon double, lat double, acq timestamp"), spark.createDataFrame(p, "vessel long, ib long, ts timestamp, lon double, lat double")).collect()
+    assert asked == [20]
+    metres = lambda a, b: float(around._haversine(a[2], a[3], b[3], b[4], 6371008.8))
+    want, used = {}, set()
+    for d, i, j in sorted((metres(a, b), a[1], b[1]) for a in c for b in p if metres(a, b) <= 3000):
+        if i not in want and j not in used:
+            want[i] = j
+            used.add(j)
+    assert {r.det_id: r.vessel for r in got} == {f"K{i}": j for i, j in want.items()} and len(want) > 10
