@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pelagos.functions import geo
 from pelagos.operators import matching as m
+from pelagos.operators import rivals
 from pelagos.plans.registry import query
 from pelagos.sources import views as v
 
@@ -64,8 +65,7 @@ fv AS (SELECT scene_id, mmsi, min(dist_m) AS b FROM y WHERE vd IS NOT NULL AND d
 SELECT t.scene_id, t.det_id, t.mmsi, fc.a IS NOT NULL OR fv.b IS NOT NULL AS ambiguous, round(least(fc.a, fv.b), 3) AS alt_dist_m, CASE WHEN fc.a IS NOT NULL OR fv.b IS NOT NULL THEN array_to_string(list_sort(list_distinct(list_append(coalesce(ms, []), t.mmsi::VARCHAR))), ';') END AS candidates FROM taken t LEFT JOIN fc USING (scene_id, det_id) LEFT JOIN fv USING (scene_id, mmsi)""")
 def pair_ambiguity(spark, sf):
     """Mutually nearest pairs that another vessel or contact could as well explain."""
-    pairs = _pairs(spark, sf)
-    out = m.ambiguity(pairs, _mutual(pairs).select("scene_id", "det_id", "mmsi", "dist_m"))
+    out = rivals.ambiguous_pairs(v.objects(spark, sf), m.positions_at(v.reports(spark, sf), v.object_scenes(spark, sf)))
     return out.select("scene_id", "det_id", "mmsi", "ambiguous", F.round("alt_dist_m", 3).alias("alt_dist_m"), "candidates")
 
 

@@ -6,9 +6,10 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pelagos.operators import around, assign, dedupe, evidence, proximity, tracks
+from pelagos.operators import around, assign, dedupe, evidence, matching, proximity, rivals, tracks
 from pelagos.plans import leads, registry
 
 
@@ -159,3 +160,24 @@ def test_places_of_vessels_are_worked_out_once_a_scene(monkeypatch, spark):
             want[i] = j
             used.add(j)
     assert {r.det_id: r.vessel for r in got} == {f"K{i}": j for i, j in want.items()} and len(want) > 10
+
+
+def test_rivals_without_a_table_of_pairs(spark, sf):
+    """No join of contacts with vessels; ties, repeated places, nulls and several tiles give what the table of pairs gives."""
+    plan = registry.QUERIES["pair_ambiguity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "_col" in line]
+    rng = np.random.default_rng(7)
+    pick = lambda options, n: [options[k] for k in rng.integers(0, len(options), n)]
+    place = lambda n: [(105 + float(x) / 250, 10 + float(y) / 250) for x, y in rng.integers(0, 60, (n, 2))]
+    c = [(i % 2, f"K{i}", *xy, length, grade) for i, (xy, length, grade) in enumerate(zip(place(900), pick([None, 20.0, 120.0], 900), pick([None, "fixed", "high"], 900), strict=True))]
+    c += [(0, "lost", None, 10.0, 20.0, "high"), (None, "adrift", 105.0, 10.0, 20.0, "high")]
+    v = [(i % 2, 201_000_000 + i, *xy, "interp", 1.0, sog, speed, length) for i, (xy, sog, speed, length) in enumerate(zip(place(900), pick([None, 0.0, 9.0], 900), pick([None, 3.0], 900), pick([None, 0.0, 60.0, 300.0], 900), strict=True))]
+    contacts = spark.createDataFrame(c, "scene_id long, det_id string, lon double, lat double, length_m double, confidence string")
+    placed = spark.createDataFrame(v, "scene_id long, mmsi long, lon double, lat double, method string, dt_s double, sog_kn double, speed_kn double, length_m double")
+    pairs = matching.candidate_pairs(contacts, placed)
+    first = lambda key, other: F.row_number().over(Window.partitionBy("scene_id", key).orderBy("dist_m", other)) == 1
+    taken = pairs.withColumn("_a", first("det_id", "mmsi")).withColumn("_b", first("mmsi", "det_id")).where("_a and _b").select("scene_id", "det_id", "mmsi", "dist_m")
+    shape = lambda df: sorted((r.scene_id, r.det_id, r.mmsi, r.ambiguous, r.alt_dist_m and round(r.alt_dist_m, 6), r.candidates) for r in df.collect())
+    want = shape(matching.ambiguity(pairs, taken))
+    assert len(want) > 200 and {r[3] for r in want} == {True, False}
+    assert shape(rivals.ambiguous_pairs(contacts, placed, tile=0.05)) == shape(rivals.ambiguous_pairs(contacts, placed)) == want
