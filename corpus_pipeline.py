@@ -9,13 +9,14 @@ Defined cases: the stages' rules for nulls, empty and very long texts, ties, rep
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagos.llm import dedup, mixing, packing, toxicity
-from pelagos.llm.common import materialise, table
+from pelagos.llm.common import materialise, small_batches, table
 
 
 def _beside(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -47,7 +48,18 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, with_ids=False)
 
 
-STAGES = [("toxicity", drop_toxic), ("simhash", drop_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+def _small(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` with whole texts in small batches, so that an executor's memory does not grow with their length."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [("toxicity", _small(drop_toxic)), ("simhash", _small(drop_copies)), ("mixing", _small(mix_sources)), ("packing", _small(pack_sequences))]
 
 #: SQL expresses neither the models nor the tokens; the tests hold the pipeline against its parts.
 ORACLE_SQL = None

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pelagos.operators.graph import connected_components
 from pelagos.storage import discard
 
-from .common import WORD_BYTES, materialise, sliced
+from .common import WORD_BYTES, give_back, materialise, sliced
 from .simhash import SEED, TOLERANCE, find_links, fingerprint, key_rows, shingles
 
 #: For whole near-duplicate removal: five-word shingles, similarity of their sets.
@@ -122,6 +122,7 @@ def _nodes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     frequent, often = _frequent(docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in sliced(batches):
             node, n, fp, keys, hot, bits = [], [], [], [], [], []
             for text in b.column(1).to_pylist():

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sliced, table
+from .common import give_back, materialise, sliced, table
 
 MAX_DOCS, SEED, THRESHOLD = 10_000, 42, 0.7
 FOLDS, HELD_OUT = 3, 1
@@ -117,6 +117,7 @@ def _contexts(sample: DataFrame) -> DataFrame:
     """(word, y, half, n): n different words that ``word`` comes after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         h = xxhash.xxh64_intdigest
         for b in sliced(batches):
             seen = set()
@@ -214,6 +215,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shape = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         judge = model.scorer()
         for b in sliced(batches):
             s = np.array([judge(t) for t in b.column(at).to_pylist()], float)
