@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pelagos.operators import around, assign, dedupe, evidence, matching, proximity, rivals, tracks
+from pelagos.operators import around, assign, claims, dedupe, evidence, matching, proximity, rivals, tracks
 from pelagos.plans import leads, registry
 
 
@@ -181,3 +181,33 @@ def test_rivals_without_a_table_of_pairs(spark, sf):
     want = shape(matching.ambiguity(pairs, taken))
     assert len(want) > 200 and {r[3] for r in want} == {True, False}
     assert shape(rivals.ambiguous_pairs(contacts, placed, tile=0.05)) == shape(rivals.ambiguous_pairs(contacts, placed)) == want
+
+
+def test_presence_pairs_look_at_every_contact(spark, sf):
+    """The query pairs contacts whatever their number, not those of one number in twenty."""
+    got = registry.QUERIES["presence_pairs"](spark, sf).collect()
+    assert len(got) == len({r.det_id for r in got}) == len({r.vessel for r in got})
+    assert any(int(r.det_id[1:]) % 20 for r in got)
+
+
+@pytest.mark.parametrize("claimed", [1, 16])
+def test_claims_give_the_walk_over_all_pairs(monkeypatch, spark, claimed):
+    """Vessels and contacts of repeated places in two scenes, with few contacts for many vessels and the reverse, against a walk over all pairs."""
+    monkeypatch.setattr(claims, "CLAIMS", claimed)
+    rng = np.random.default_rng(13)
+    t = [datetime(2024, 1, 15, h, 10, tzinfo=UTC) for h in (6, 7)]
+    place = lambda n, wide: [(105 + float(x) / 1000, 10 + float(y) / 1000) for x, y in rng.integers(0, wide, (n, 2))]
+    for n, m in ((150, 40), (25, 90)):
+        c = [(i, t[i % 2], *xy) for i, xy in enumerate(place(n, 60))]
+        v = [(j, at, *xy, j % 3 / 10, place(2, 60)) for j in range(m) for at, xy in zip(t, place(2, 60), strict=True)]
+        metres = lambda a, b: float(around._haversine(*a, *b, 6371008.8))
+        pairs = sorted((metres(x[2:], y[2:4]) / 1000 + y[4], x[0], y[0]) for x in c for y in v if x[1] == y[1] and metres(x[2:], y[2:4]) <= 3000 and any(metres(x[2:], p) <= 2500 for p in y[5]))
+        want, used = {}, set()
+        for _, i, j in pairs:
+            if i not in want and j not in used:
+                want[i] = j
+                used.add(j)
+        a = spark.createDataFrame([*c, (n, None, 105.0, 10.0), (None, t[0], 105.0, 10.0)], "ia long, acq timestamp, lon double, lat double")
+        b = spark.createDataFrame([*v, (m, t[0], None, 10.0, 0.0, [(105.0, 10.0)])], "ib long, acq timestamp, lon double, lat double, slow double, own array<struct<lon:double,lat:double>>")
+        got = claims.cheapest_first(a, b, 3000.0, 2500.0).collect()
+        assert {r.ia: r.ib for r in got} == want and len(got) == len(want) > 20
