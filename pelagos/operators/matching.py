@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pelagos.functions import geo
 from pelagos.functions.scalars import KN_MS
-from pelagos.operators import assign, proximity
+from pelagos.operators import proximity
 
 
 # Limits of the matcher (metres, seconds, knots).
@@ -159,15 +159,10 @@ def match_scene(contacts: DataFrame, reports: DataFrame, scenes: DataFrame, stat
         ships = ships.join(gear.select("mmsi").distinct(), "mmsi", "left_anti")
     if static is not None:
         ships = with_static(ships, static)
-    pairs = candidate_pairs(contacts, positions_at(ships, scenes, cfg), cfg)
-    best = assign.least_cost(pairs, ["scene_id"], "mmsi", "det_id", "dist_m", "gate_m")
-    taken = pairs.join(best.select("scene_id", "mmsi", "det_id"), ["scene_id", "mmsi", "det_id"])
-    judged = ambiguity(pairs, taken.select("scene_id", "det_id", "mmsi", "dist_m"), cfg)
-    firm = judged.join(taken.drop("dist_m"), ["scene_id", "det_id", "mmsi"])
-    quality = live_quality(F.col("dist_m"), F.col("dt_s"), F.col("speed_kn"), F.col("length_m"), F.col("length_ais"))
-    firm = firm.select("scene_id", "det_id", "ambiguous", "alt_dist_m", "candidates", *(F.when(~F.col("ambiguous"), F.col(c)).alias(c) for c in ("mmsi", "dist_m", "dt_s", "gate_m", "method")), F.when(~F.col("ambiguous"), quality).alias("match_quality"))
-    out = contacts.join(firm, ["scene_id", "det_id"], "left")
-    return out.withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False))).withColumn("ais_status", F.when(F.col("mmsi").isNotNull(), "matched").otherwise("unmatched"))
+    from pelagos.operators import scenes as whole  # which uses this module
+
+    out = whole.matched(contacts, positions_at(ships, scenes, cfg), cfg)
+    return out.withColumn("ais_status", F.when(F.col("mmsi").isNotNull(), "matched").otherwise("unmatched"))
 
 
 def leftover(placed: DataFrame, matched: DataFrame) -> DataFrame:

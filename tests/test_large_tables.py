@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pelagos.operators import around, assign, claims, dedupe, evidence, matching, proximity, rivals, tracks
+from pelagos.operators import around, assign, claims, dedupe, evidence, matching, proximity, rivals, scenes, tracks
 from pelagos.plans import leads, registry
 
 
@@ -211,3 +211,55 @@ def test_claims_give_the_walk_over_all_pairs(monkeypatch, spark, claimed):
         b = spark.createDataFrame([*v, (m, t[0], None, 10.0, 0.0, [(105.0, 10.0)])], "ib long, acq timestamp, lon double, lat double, slow double, own array<struct<lon:double,lat:double>>")
         got = claims.cheapest_first(a, b, 3000.0, 2500.0).collect()
         assert {r.ia: r.ib for r in got} == want and len(got) == len(want) > 20
+
+
+def test_a_few_nearest_give_the_least_cost_of_all():
+    """Rows that know only their first one or two columns reach the total that all pairs give."""
+    rng = np.random.default_rng(17)
+    looked = []
+    for n, m, few in [(6, 4, 1), (4, 6, 1), (40, 25, 2), (25, 60, 2), (60, 60, 1)]:
+        for _ in range(20):
+            price = np.where(rng.random((n, m)) < 0.5, rng.integers(0, 30, (n, m)), np.inf)
+            gate = rng.integers(10, 25, n).astype(float)
+            price[price > gate[:, None]] = np.inf
+            every = [[j for j in np.lexsort((np.arange(m), p)) if np.isfinite(p[j])] for p in price]
+            whole = lambda i: looked.append(i) or ([int(j) for j in every[i]], [float(price[i, j]) for j in every[i]], float("inf"))  # noqa: E731, B023
+            start = [(whole(i)[0][:few], whole(i)[1][:few], whole(i)[1][few - 1] if len(every[i]) > few else float("inf")) for i in range(n)]
+            looked.clear()
+            pick = scenes.cheapest(start, gate.tolist(), m, whole)
+            assert len({j for j in pick if j >= 0}) == sum(j >= 0 for j in pick)
+            first = np.cumsum([0, *map(len, every)]).tolist()
+            to = [int(j) for e in every for j in e]
+            want = assign._shortest_paths(first, to, [float(price[i, j]) for i in range(n) for j in every[i]], gate.tolist())
+            total = lambda taken: sum(price[i, j] if j >= 0 else gate[i] for i, j in enumerate(taken))  # noqa: E731, B023
+            assert total(pick) == total([to[e] if e >= 0 else -1 for e in want]) < np.inf
+    assert looked
+
+
+def test_scenes_are_matched_without_a_table_of_pairs(monkeypatch, spark, sf):
+    """The query makes no pairs; repeated places, nulls and crowded scenes give the least total and the judgement that the table of pairs gives."""
+    pairs_of = matching.candidate_pairs
+    monkeypatch.setattr(matching, "candidate_pairs", None)
+    assert registry.QUERIES["match_scenes"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    rng = np.random.default_rng(19)
+    pick = lambda options, n: [options[k] for k in rng.integers(0, len(options), n)]
+    place = lambda n: [(105 + float(x) / 250, 10 + float(y) / 250) for x, y in rng.integers(0, 12, (n, 2))]
+    c = [(i % 2, f"K{i}", *xy, length, grade) for i, (xy, length, grade) in enumerate(zip(place(260), pick([None, 20.0, 120.0], 260), pick([None, "fixed", "high"], 260), strict=True))]
+    c += [(0, "lost", None, 10.0, 20.0, "high"), (None, "adrift", 105.0, 10.0, 20.0, "high"), (7, "alone", 105.0, 10.0, 20.0, "high")]
+    v = [(i % 2, 201_000_000 + i, *xy, "interp", float(i % 400), sog, speed, length) for i, (xy, sog, speed, length) in enumerate(zip(place(300), pick([None, 0.0, 9.0], 300), pick([None, 3.0], 300), pick([None, 0.0, 60.0, 300.0], 300), strict=True))]
+    contacts = spark.createDataFrame(c, "scene_id long, det_id string, lon double, lat double, length_m double, confidence string")
+    placed = spark.createDataFrame(v, "scene_id long, mmsi long, lon double, lat double, method string, dt_s double, sog_kn double, speed_kn double, length_m double")
+    got = scenes.matched(contacts, placed).collect()
+    assert sorted(r.det_id for r in got) == sorted(x[1] for x in c)
+    pairs = pairs_of(contacts, placed)
+    near = {(r.det_id, r.mmsi): r for r in pairs.collect()}
+    # With limits below zero no rival counts, so nothing is held back and the vessels show.
+    bold = matching.Match(margin_m=-1e9, ratio=-1.0)
+    taken = [(r.scene_id, r.det_id, r.mmsi, r.dist_m) for r in scenes.matched(contacts, placed, bold).collect() if r.mmsi is not None]
+    assert len(taken) == len({x[1] for x in taken}) == len({x[2] for x in taken}) > 150
+    total = lambda rows: sum(d - near[k, j].gate_m for _, k, j, d in rows)
+    want = [(r.scene_id, r.det_id, r.mmsi, r.dist_m) for r in assign.least_cost(pairs, ["scene_id"], "mmsi", "det_id", "dist_m", "gate_m").collect()]
+    assert total(taken) == pytest.approx(total(want), abs=1e-6)
+    judged = {r.det_id: (r.ambiguous, r.alt_dist_m and round(r.alt_dist_m, 6), r.candidates) for r in matching.ambiguity(pairs, spark.createDataFrame(taken, "scene_id long, det_id string, mmsi long, dist_m double")).collect()}
+    assert {r.det_id: (r.ambiguous, r.alt_dist_m and round(r.alt_dist_m, 6), r.candidates) for r in got if r.det_id in judged} == judged and {x[0] for x in judged.values()} == {True, False}
+    assert all(not r.ambiguous and r.mmsi is None for r in got if r.det_id not in judged)
