@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pelagos.operators import around, assign, claims, dedupe, evidence, matching, proximity, rivals, scenes, tracks
+from pelagos.operators import around, assign, claims, dedupe, evidence, matching, proximity, rivals, scenes, temporal, tracks
 from pelagos.plans import leads, registry
 
 
@@ -263,3 +263,27 @@ def test_scenes_are_matched_without_a_table_of_pairs(monkeypatch, spark, sf):
     judged = {r.det_id: (r.ambiguous, r.alt_dist_m and round(r.alt_dist_m, 6), r.candidates) for r in matching.ambiguity(pairs, spark.createDataFrame(taken, "scene_id long, det_id string, mmsi long, dist_m double")).collect()}
     assert {r.det_id: (r.ambiguous, r.alt_dist_m and round(r.alt_dist_m, 6), r.candidates) for r in got if r.det_id in judged} == judged and {x[0] for x in judged.values()} == {True, False}
     assert all(not r.ambiguous and r.mmsi is None for r in got if r.det_id not in judged)
+
+
+@pytest.mark.parametrize("slots", [1, 8])
+def test_brackets_across_the_ends_of_buckets(monkeypatch, spark, slots):
+    """Reports go to one bucket, or to two near an end; equal times, targets at reports and times before 1970 give what a loop gives."""
+    monkeypatch.setattr(temporal, "SLOTS", slots)
+    rng = np.random.default_rng(23)
+    at = lambda s: datetime.fromtimestamp(int(s), UTC)
+    points = [(int(k), n, int(t), float(n), float(-n)) for n, (k, t) in enumerate(zip(rng.integers(0, 6, 300), rng.integers(-40, 80, 300) * 600, strict=True))]
+    asked = [(n, int(t) * 300) for n, t in enumerate(rng.integers(-90, 170, 60))]
+    p = spark.createDataFrame([(k, e, at(t), lon, lat) for k, e, t, lon, lat in points] + [(1, 900, None, 0.0, 0.0)], "k long, e long, ts timestamp, lon double, lat double")
+    a = spark.createDataFrame([(n, at(t)) for n, t in asked] + [(900, None)], "n long, at timestamp")
+    want = {}
+    for n, now in asked:
+        for k in range(6):
+            before = min(((now - t, e, lon, lat) for v, e, t, lon, lat in points if v == k and 0 <= now - t <= 1800), default=None)
+            after = min(((t - now, e, lon, lat) for v, e, t, lon, lat in points if v == k and 0 < t - now <= 1800), default=None)
+            if before and after and before[0] <= 1200 and after[0] <= 1200:
+                share = before[0] / (before[0] + after[0])
+                want[n, k] = (round(before[2] + share * (after[2] - before[2]), 6), "interpolated")
+            elif before or after:
+                want[n, k] = (min(x for x in (before and (before[0], 0, before[2]), after and (after[0], 1, after[2])) if x)[2], "nearest")
+    got = temporal.bracket(p, a, "k", "ts", "at", "e", 1800, 1200.0).collect()
+    assert {(r.n, r.k): (round(r.lon, 6), r.method) for r in got} == want and len(got) == len(want) and {m for _, m in want.values()} == {"interpolated", "nearest"}
