@@ -287,3 +287,10 @@ def test_brackets_across_the_ends_of_buckets(monkeypatch, spark, slots):
                 want[n, k] = (min(x for x in (before and (before[0], 0, before[2]), after and (after[0], 1, after[2])) if x)[2], "nearest")
     got = temporal.bracket(p, a, "k", "ts", "at", "e", 1800, 1200.0).collect()
     assert {(r.n, r.k): (round(r.lon, 6), r.method) for r in got} == want and len(got) == len(want) and {m for _, m in want.values()} == {"interpolated", "nearest"}
+
+
+@pytest.mark.parametrize("name", ["lights_near"])
+def test_searches_carry_what_the_result_needs(spark, sf, name):
+    """Of a contact only its id, place and time are shuffled."""
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cnn_score" not in plan and "wind_ms" not in plan
