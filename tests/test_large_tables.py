@@ -289,7 +289,7 @@ def test_brackets_across_the_ends_of_buckets(monkeypatch, spark, slots):
     assert {(r.n, r.k): (round(r.lon, 6), r.method) for r in got} == want and len(got) == len(want) and {m for _, m in want.values()} == {"interpolated", "nearest"}
 
 
-@pytest.mark.parametrize("name", ["lights_near"])
+@pytest.mark.parametrize("name", ["lights_near", "events_near"])
 def test_searches_carry_what_the_result_needs(spark, sf, name):
     """Of a contact only its id, place and time are shuffled."""
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
